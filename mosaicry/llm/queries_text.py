@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mosaicry.llm.cooccurrence import clean_items, pair_counts
 from mosaicry.llm.leakage import leaked_items
+from mosaicry.llm.lookalike import LOOKALIKES, consistent_texts, same_look_pairs
 from mosaicry.tables import load
 
 
@@ -36,7 +37,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_association": p6_association, "p8_found": p8_found, "p8_report": p8_report}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = same_look_pairs(load(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return consistent_texts(load(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"id": "doc_id", "form": "text"})
+
+
+QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_association": p6_association, "p8_found": p8_found, "p8_report": p8_report}
 
 _P6 = r"""
 WITH base AS (
@@ -56,7 +67,19 @@ dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id,
 hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 
+# full-width forms are ASCII moved by a fixed distance; look-alikes become their Latin member
+_FROM = "".join(map(chr, range(0xFF01, 0xFF5F))) + "".join(c for cls in LOOKALIKES for c in cls[1:] if c != ".") + "\u00a0\u2002\u2007\u2009\u202f\u3000\u3000"
+_TO = "".join(map(chr, range(0x21, 0x7F))) + "".join(cls[0] for cls in LOOKALIKES for c in cls[1:] if c != ".") + " " * 7
+_P10 = f"""
+WITH f AS (
+  SELECT doc_id, text, nfc_normalize(replace(replace(translate(regexp_replace(text, '[\u00ad\u200b-\u200f\u2060\ufeff]', '', 'g'), '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'), '\ufb01', 'fi'), '\ufb02', 'fl')) AS form
+  FROM documents WHERE text IS NOT NULL),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '\\S'))
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
+"""
+
 ORACLE = {
+    "p10_found": _P10,
     "p6_found": _P6 + "SELECT item_a, item_b FROM r",
     "p6_association": _P6
     + """SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a::DOUBLE * n_b) AS lift,
