@@ -1,5 +1,5 @@
 """The modules of this package that hold queries."""
 
-from mosaicry.llm import queries_records, queries_speech, queries_text
+from mosaicry.llm import queries_records, queries_speech, queries_text, queries_vectors
 
-MODULES = [queries_records, queries_speech, queries_text]
+MODULES = [queries_records, queries_speech, queries_text, queries_vectors]
