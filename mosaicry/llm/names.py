@@ -158,12 +158,12 @@ def link_names(register: DataFrame, reg_id: str, reg_name: str, others: DataFram
         hit = hit.filter(F.col("tier").isin(1, 3) | one_edit(F.col("mine"), F.col("changed")))
         best = hit.groupBy("node", "tier").agg(F.min("person").alias("p"), F.max("person").alias("q"))
         best = best.groupBy("node").agg(F.min_by(F.struct("p", "q"), "tier").alias("b"))
-        return best.filter("b.p = b.q").select("node", F.col("b.p").alias("person"))
+        return best.select("node", F.when(F.col("b.p") == F.col("b.q"), F.col("b.p")).alias("person"))
 
-    loose = attach(forms.filter("kind <> 'full'"))
-    # initials that lead to no full spelling still mean one person each if spelled alike
+    loose = materialize(attach(forms.filter("kind <> 'full'")), "attached")
+    # initials that lead to no full spelling still mean one person each if spelled alike; those that lead to several mean nobody
     alone = nodes.filter("kind = 'initial'").select("node").join(loose.select("node"), "node", "left_anti").select("node", F.col("node").alias("person"))
-    person_all = materialize(person.unionByName(loose).unionByName(alone), "persons")
+    person_all = materialize(person.unionByName(loose.filter("person IS NOT NULL")).unionByName(alone), "persons")
     rows = reg.join(person_all, "node").select("id", "person")
     smallest = rows.groupBy("person").agg(F.min("id").alias("person_id"))
     mine = materialize(rows.join(smallest, "person").select("id", "person_id"), "linked")
@@ -171,5 +171,5 @@ def link_names(register: DataFrame, reg_id: str, reg_name: str, others: DataFram
         return mine, None
     oth = materialize(spellings(others, other_id, other_name), "others")
     kinds = oth.select("kind", "node").distinct()
-    theirs = attach(kinds.mapInArrow(_forms, "node string, kind string, tier int, form string, kept string, changed string").filter("kind <> 'full' OR tier < 3"))
+    theirs = attach(kinds.mapInArrow(_forms, "node string, kind string, tier int, form string, kept string, changed string").filter("kind <> 'full' OR tier < 3")).filter("person IS NOT NULL")
     return mine, oth.join(theirs, "node").join(smallest, "person").select("id", "person_id")
