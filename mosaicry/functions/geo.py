@@ -26,3 +26,23 @@ def quad_cell(lat: Column, lon: Column, level: int) -> Column:
     ix = F.least(F.floor((lon + 180.0) / 360.0 * n), F.lit(n - 1))
     iy = F.least(F.floor((lat + 90.0) / 180.0 * n), F.lit(n - 1))
     return F.lit(level << 58) + ix * F.lit(1 << 29) + iy
+
+
+def parse_angle(raw: Column) -> Column:
+    """Degrees from a decimal number or "48 deg 51' 29.6\" N"; south and west are negative; null if neither."""
+    s = F.trim(raw)
+    dms = r"""^([0-9.]+)\s*deg\s*([0-9.]+)'\s*([0-9.]+)"?\s*([NSEW]?)\s*$"""
+    part = lambda i: F.regexp_extract(s, dms, i).try_cast("double")
+    size = part(1) + part(2) / 60 + part(3) / 3600
+    return F.coalesce(s.try_cast("double"), F.when(F.regexp_extract(s, dms, 4).isin("S", "W"), -size).otherwise(size))
+
+
+def masked(value: Column, mode: Column, places: Column) -> Column:
+    """A coordinate under a privacy zone: null under strip, rounded half to even under coarsen, as it is elsewhere."""
+    power = F.pow(F.lit(10.0), places)
+    return F.when(mode == "strip", None).when(mode == "coarsen", F.rint(value * power) / power).otherwise(value)
+
+
+def box_to_pixels(cx: Column, cy: Column, w: Column, h: Column, img_w: Column, img_h: Column) -> Column:
+    """struct(x1, y1, x2, y2) in pixels of a normalised centre and size."""
+    return F.struct(((cx - w / 2) * img_w).alias("x1"), ((cy - h / 2) * img_h).alias("y1"), ((cx + w / 2) * img_w).alias("x2"), ((cy + h / 2) * img_h).alias("y2"))
