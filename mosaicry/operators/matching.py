@@ -87,10 +87,12 @@ def mentions(texts: DataFrame, id_col: str, text: str, terms: DataFrame, term: s
     t = materialize(t.select("term", "n", F.array_join("w", " ").alias("run")), "terms")
     lengths = sorted(r["n"] for r in t.select("n").distinct().collect())
     d = texts.select(F.col(id_col).alias("id"), _words(F.col(text)).alias("w")).filter(F.size("w") > 0)
-    runs = F.array().cast("array<string>")
-    for n in lengths:
+
+    def runs_of(n: int) -> Column:
         at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs = F.concat(runs, F.transform(at, lambda i, n=n: F.array_join(F.slice("w", i, n), " ")))
+        return F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))
+
+    runs = F.concat(F.array().cast("array<string>"), *[runs_of(n) for n in lengths])
     d = d.select("id", F.explode(F.array_distinct(runs)).alias("run"))
     if t.count() * 100 <= 64 << 20:
         t = F.broadcast(t)
