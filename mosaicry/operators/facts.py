@@ -85,3 +85,23 @@ def trimmed_centroids(rows: DataFrame, group: str, id_col: str, vector: str, tri
     c = materialize(centre(kept), "centres")
     spread = kept.join(c, "g").groupBy("g").agg(F.count("*").alias("n"), F.avg(1 - cosine(F.col("v"), F.col("c"))).alias("spread"))
     return c.join(spread, "g").select(F.col("g").alias(group), F.col("c").alias("centroid"), "n", "spread")
+
+
+def same_set_key(items: Column) -> Column:
+    """One string for all arrays that hold the same items, whatever their order, case, blanks and repeats; empty for none."""
+    tidy = F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    return F.array_join(F.array_sort(F.array_distinct(tidy)), "|")
+
+
+def resolve_links(rows: DataFrame, key: str, parent: str, name: str, depth: int = 3) -> DataFrame:
+    """(key, name, chain): each row's name followed by those of its parents, up to ``depth`` steps.
+
+    A step that leads to a row already in the chain, or to no row, ends it.
+    """
+    links = rows.select(F.col(key).alias("_k"), F.col(parent).alias("_up"), F.col(name).alias("_name")).dropDuplicates(["_k"])
+    out = links.select(F.col("_k").alias("key"), F.col("_name").alias("name"), F.col("_up").alias("next"), F.array("_k").alias("seen"), F.array("_name").alias("names"))
+    for _ in range(depth):
+        j = out.join(links, out["next"] == links["_k"], "left")
+        new = F.col("_k").isNotNull() & ~F.array_contains("seen", F.coalesce("_k", F.col("key")))
+        out = j.select("key", "name", F.when(new, F.col("_up")).alias("next"), F.when(new, F.concat("seen", F.array("_k"))).otherwise(F.col("seen")).alias("seen"), F.when(new, F.concat("names", F.array("_name"))).otherwise(F.col("names")).alias("names"))
+    return out.select("key", "name", F.array_join("names", " > ").alias("chain"))
