@@ -58,7 +58,7 @@ def test_medoids_split_a_chain(spark):
 
 
 def test_band_recall_is_as_documented():
-    assert band_recall(jaccard_of_cosine(0.85), 120, 8) > 0.998 and band_recall(jaccard_of_cosine(0.8), 120, 8) > 0.98
+    assert band_recall(jaccard_of_cosine(0.85), 180, 8) > 0.9999 and band_recall(jaccard_of_cosine(0.8), 180, 8) > 0.998
 
 
 def brute_top(rows, base, k, least):
