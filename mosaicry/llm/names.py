@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mosaicry.llm.survivors import star_links
 from mosaicry.operators.components import connected_components
+from mosaicry.operators.hashes import star_links
 from mosaicry.operators.skew import salted_join
 from mosaicry.scratch import materialize
 

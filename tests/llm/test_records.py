@@ -4,7 +4,8 @@ import random
 
 from mosaicry.llm.mixing import mix, with_tokens
 from mosaicry.llm.names import link_names, parse, rewritings
-from mosaicry.llm.survivors import current_scores, current_values, duplicate_groups, hamming_pairs, survivors, value_precedence
+from mosaicry.llm.survivors import current_scores, current_values, duplicate_groups, survivors, value_precedence
+from mosaicry.operators.hashes import hamming_pairs
 
 
 def test_hamming_pairs_equal_brute_force(spark):
@@ -19,7 +20,7 @@ def test_hamming_pairs_equal_brute_force(spark):
     df = spark.createDataFrame([(i, h >> 32, h & 0xFFFFFFFF) for i, h in enumerate(hs)], "id long, hi long, lo long")
     for bits in (0, 5, 10):
         want = {(a, b) for a, b in itertools.combinations(range(len(hs)), 2) if (hs[a] ^ hs[b]).bit_count() <= bits}
-        assert {tuple(r) for r in hamming_pairs(df, "id", "hi", "lo", bits).collect()} == want
+        assert {(r["a"], r["b"]) for r in hamming_pairs(df, "id", "hi", "lo", bits).collect()} == want
 
 
 FILES = "id long, file_size long, sha256 string, canonical_id long, g string"
