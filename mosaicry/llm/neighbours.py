@@ -152,7 +152,7 @@ def _lists(col: pa.Array) -> np.ndarray:
     return vectors_of(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col)[0]
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 5, min_cosine: float = 0.7, factor: float = 6.0, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int = 5, min_cosine: float = 0.7, factor: float = 5.0, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """(id, other, cosine) of the ``k`` base vectors most similar to each query, at least ``min_cosine``.
 
     Both inputs are (id, vec) as unit_vectors gives them, of one length, with unique
