@@ -40,3 +40,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, spread: str, block:
     left = left.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
     right = right.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     return left.join(right, [key, "_part"]).drop("_part")
+
+
+def left_join(left: DataFrame, right: DataFrame, key: str, spread: str) -> DataFrame:
+    """Left join on ``key`` in which rows without a key do not all go to one task.
+
+    They meet nobody, so they are spread by the hash of ``spread``.
+    """
+    a = left.withColumn("_spread", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(4096))).otherwise(F.lit(-1)).cast("int"))
+    return a.join(right.withColumn("_spread", F.lit(-1)), [key, "_spread"], "left").drop("_spread")

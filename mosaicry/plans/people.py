@@ -11,6 +11,7 @@ from mosaicry.functions.vectors import cosine, norm
 from mosaicry.operators.facts import prefer, trimmed_centroids
 from mosaicry.operators.graph import communities, npmi_edges
 from mosaicry.operators.matching import best_overlap
+from mosaicry.operators.skew import left_join
 from mosaicry.tables import load, once
 
 
@@ -32,7 +33,7 @@ def voice_labels(spark: SparkSession, d: str) -> DataFrame:
     """What each voice segment is called: the person's name, else its cluster's label, else its own."""
     ppl = once(load(spark, d, "people"), "id").select(F.col("id").alias("person_id"), "preferred_name")
     cl = once(load(spark, d, "voice_speaker_clusters"), "id").select(F.col("id").alias("cluster_id"), F.col("label").alias("cluster_label"))
-    v = _voices(spark, d).join(ppl, "person_id", "left").join(cl, "cluster_id", "left")
+    v = left_join(left_join(_voices(spark, d), ppl, "person_id", "id"), cl, "cluster_id", "id")
     full = lambda c: F.when(F.trim(c) != "", F.col(c))
     return v.select("id", F.coalesce(full("preferred_name"), full("cluster_label"), "speaker_label").alias("label"))
 

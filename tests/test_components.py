@@ -1,7 +1,7 @@
 import random
 
 from mosaicry.operators.components import connected_components
-from mosaicry.operators.skew import salted_join
+from mosaicry.operators.skew import left_join, salted_join
 
 
 def brute(edges):
@@ -38,3 +38,10 @@ def test_salted_join_meets_each_pair_once(spark):
     for block in (10, 1000):
         got = sorted((r["x"], r["y"]) for r in salted_join(left, right, "k", "x", block).collect())
         assert got == sorted((i, j) for i in range(100) for j in range(9))
+
+
+def test_left_join_keeps_rows_without_a_key(spark):
+    left = spark.createDataFrame([(None, i) for i in range(50)] + [(1, 100), (2, 101)], "k int, x int")
+    right = spark.createDataFrame([(1, "a"), (None, "b")], "k int, y string")
+    got = {(r["k"], r["x"], r["y"]) for r in left_join(left, right, "k", "x").collect()}
+    assert got == {(None, i, None) for i in range(50)} | {(1, 100, "a"), (2, 101, None)}
