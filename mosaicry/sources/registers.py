@@ -55,7 +55,11 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
     """(name, polygon) of KML files: each ring of at least three points is a polygon of its own, named by its placemark or file."""
-    text = spark.read.text(path, wholetext=True).select(F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("stem"))
+    return kml_polygons(spark.read.text(path, wholetext=True).select(F.col("value"), F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("stem")))
+
+
+def kml_polygons(text: DataFrame) -> DataFrame:
+    """(name, polygon) of KML documents given as (stem, value)."""
     marks = F.regexp_extract_all("value", F.lit(r"(?s)(<Placemark[ >].*?</Placemark>)"), 1)
     m = text.select("stem", F.explode(marks).alias("m"))
     name = F.trim(F.regexp_extract("m", r"(?s)<name>(.*?)</name>", 1))

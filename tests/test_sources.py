@@ -61,3 +61,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.schema(s.schema).parquet(str(tmp_path / "out")).count() == 0
     assert window_counts(df, "ts", "kind", "value").agg({"n": "sum"}).first()[0] == 100
     assert sessions(df, "ts", "user_id", "10 minutes").count() == 100 and sessions(df, "ts", "user_id", "22 minutes").count() == 3
+
+
+def test_archives(spark, tmp_path):
+    import struct
+    import zipfile
+
+    from mosaicry.sources.archives import read_kmz, read_shapes
+
+    with zipfile.ZipFile(tmp_path / "z.kmz", "w") as z:
+        z.writestr("doc.kml", "<kml><Placemark><coordinates>0,0 2,0 0,2</coordinates></Placemark></kml>")
+    (tmp_path / "bad.kmz").write_bytes(b"no archive")
+    assert [(r["name"], len(r["polygon"][0][0])) for r in read_kmz(spark, str(tmp_path / "*.kmz")).collect()] == [("z", 3)]
+    pts = [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
+    body = struct.pack("<i4d2i", 5, 0, 0, 1, 1, 1, 4) + struct.pack("<i", 0) + b"".join(struct.pack("<2d", *p) for p in pts)
+    null = struct.pack("<i", 0)
+    (tmp_path / "s.shp").write_bytes(bytes(100) + struct.pack(">ii", 1, len(body) // 2) + body + struct.pack(">ii", 2, len(null) // 2) + null)
+    got = read_shapes(spark, str(tmp_path / "s.shp")).collect()
+    assert [(r["name"], r["record"], len(r["polygon"][0][0])) for r in got] == [("s", 1, 4)]
