@@ -205,7 +205,9 @@ def speaker_turns(segments: DataFrame, voices: DataFrame, people: DataFrame, sli
     same = named.join(first, "name").groupBy("pid").agg(F.min("person").alias("person"))
     by_number = v.filter("number IS NOT NULL AND person_id IS NOT NULL").groupBy("file_id", "number").agg(F.min("person_id").alias("pid"))
     by_number = by_number.join(same, "pid", "left").select("file_id", "number", F.coalesce("person", "pid").alias("number_person"))
-    s = s.join(by_number, ["file_id", "number"], "left").join(first.select("name", F.col("person").alias("name_person")), "name", "left")
+    # most segments have no name: each gets a key of its own that meets nobody, lest all of them go to one task
+    s = s.join(by_number, ["file_id", "number"], "left").withColumn("_name", F.coalesce("name", F.concat(F.lit("\u0001"), F.col("id"))))
+    s = s.join(first.select(F.col("name").alias("_name"), F.col("person").alias("name_person")), "_name", "left")
     person = F.coalesce("number_person", "name_person")
     speaker = F.coalesce(F.concat(F.lit("p"), person), F.concat(F.lit("n"), F.col("number")), F.concat(F.lit("l"), F.col("name")))
     last = F.lit((1 << 62))
