@@ -115,9 +115,16 @@ def temporal_fields(taken: Column, fallback: Column) -> Column:
     parts = F.split(d, "-")
     y, m, day = (F.get(parts, F.lit(i)).try_cast("int") for i in range(3))
     real = F.try_make_date(y, m, day) if hasattr(F, "try_make_date") else F.to_date(F.when(d.rlike("^[0-9]{4}-(0[1-9]|1[0-2])-([0-2][0-9]|3[01])$") & (day <= F.dayofmonth(F.last_day(F.concat(F.substring(d, 1, 8), F.lit("01")).try_cast("date")))), d))
-    band = F.coalesce(*[F.when(hour.between(lo, hi), name) for name, lo, hi in DAY_BANDS])
-    ok = F.when(m.between(1, 12), m)
-    return F.struct(
-        y.alias("year"), decade(y).alias("decade"), _named(ok - 1, MONTHS).alias("month_name"), _named(ok - 1, SEASONS).alias("season"),
-        F.when(real.isNotNull(), _named(F.weekday(real), DAYS)).alias("day_name"), F.when(real.isNotNull(), holiday(y, m, day)).alias("holiday"), band.alias("time_of_day"),
-    )
+    # a one-element array binds each part once, however often it is used below
+    known = F.array(F.struct(y.alias("y"), m.alias("m"), day.alias("d"), hour.alias("h"), real.alias("real")))
+
+    def derive(k: Column) -> Column:
+        ok = F.when(k["m"].between(1, 12), k["m"])
+        there = k["real"].isNotNull()
+        return F.struct(
+            k["y"].alias("year"), decade(k["y"]).alias("decade"), _named(ok - 1, MONTHS).alias("month_name"), _named(ok - 1, SEASONS).alias("season"),
+            F.when(there, _named(F.weekday(k["real"]), DAYS)).alias("day_name"), F.when(there, holiday(k["y"], k["m"], k["d"])).alias("holiday"),
+            F.coalesce(*[F.when(k["h"].between(lo, hi), name) for name, lo, hi in DAY_BANDS]).alias("time_of_day"),
+        )
+
+    return F.get(F.transform(known, derive), F.lit(0))
