@@ -28,6 +28,8 @@ BANDS, ROWS = 180, 8
 STAR_BANDS = 12
 #: Rows up to which a bucket's pairs are formed by one join on the bucket.
 SMALL_BUCKET = 256
+#: Members of a group that meet as many others in one task.
+PAIR_BLOCK = 1024
 SEED = 20_260_101
 
 
@@ -180,17 +182,48 @@ def vector_groups(rows: DataFrame, id_col: str, vector: str, min_cosine: float =
     return c.select(F.col("node").alias("id"), F.col("component").alias("group_id"))
 
 
-def split_around_medoids(links: DataFrame) -> DataFrame:
+def similar_pairs_within(members: DataFrame, min_cosine: float = 0.8) -> DataFrame:
+    """(a, b) of all pairs of one group with cosine >= ``min_cosine``, a < b; ``members`` has (group_id, id, vec).
+
+    A group is cut into blocks of about PAIR_BLOCK members and each pair of blocks meets
+    in one task, so no task holds more than two blocks and their cosines.
+    """
+    parts = members.groupBy("group_id").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("parts"))
+    t = members.join(parts, "group_id").withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    t = t.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    t = t.select("group_id", F.least("p", "o").alias("lo"), F.greatest("p", "o").alias("hi"), "p", "id", "vec")
+
+    def meet(block: pa.Table) -> pa.Table:
+        ids, p = block.column("id").to_numpy(), block.column("p").to_numpy()
+        lo, hi = block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
+        x = block.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        i, j = np.flatnonzero(p == lo), np.flatnonzero(p == hi)
+        r, c = np.nonzero(x[i] @ x[j].T >= min_cosine)
+        u, v = ids[i[r]], ids[j[c]]
+        keep = u < v if lo == hi else u != v
+        return pa.table({"a": pa.array(np.minimum(u, v)[keep], pa.int64()), "b": pa.array(np.maximum(u, v)[keep], pa.int64())})
+
+    return t.groupBy("group_id", "lo", "hi").applyInArrow(meet, "a long, b long")
+
+
+def split_around_medoids(links: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(id, medoid) for every end of ``links`` (a, b): groups of which each member is linked to its medoid.
 
     A round makes medoids of all open nodes that have more links than any open
     neighbour (ties: the smaller id); open nodes linked to one join the medoid with
     most links. Rounds go on until no node is open; each closes the best node of
-    every component.
+    every component. ``links`` must hold every link. With ``copies`` (id, copies) a node
+    stands for so many equal ones, and links count as they would between all of these.
     """
     e = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "links")
     rank = F.struct("n", (-F.col("a")).alias("i"))
-    node = materialize(e.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("id"), rank.alias("r")), "nodes")
+    if copies is None:
+        degree = e.groupBy("a").agg(F.count("*").alias("n"))
+    else:
+        degree = e.join(copies.select(F.col("id").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("n"))
+        degree = degree.join(copies.select(F.col("id").alias("a"), F.col("copies").alias("own")), "a").select("a", (F.col("n") + F.col("own") - 1).alias("n"))
+    node = materialize(degree.select(F.col("a").alias("id"), rank.alias("r")), "nodes")
     done = None
     while not node.isEmpty():
         near = e.join(node.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
@@ -205,11 +238,13 @@ def split_around_medoids(links: DataFrame) -> DataFrame:
     return done if done is not None else links.sparkSession.createDataFrame([], "id long, medoid long")
 
 
-def describe_groups(rows: DataFrame, id_col: str, vector: str, groups: DataFrame, typical: int = 3, min_cosine: float = 0.8, links: DataFrame | None = None) -> DataFrame:
+def describe_groups(rows: DataFrame, id_col: str, vector: str, groups: DataFrame, typical: int = 3, min_cosine: float = 0.8, links: DataFrame | None = None, split: bool = False) -> DataFrame:
     """(group_id, size, spread, typical): each group's size, mean 1 - cosine to its centre, and most typical ids.
 
-    ``groups`` has (id, group_id). With ``links`` a group whose mean cosine to its
-    centre is below ``min_cosine`` is loose and is split around its medoids first.
+    ``groups`` has (id, group_id). With ``split`` a group whose mean cosine to its
+    centre is below ``min_cosine`` is loose and is split around its medoids first: all
+    similar pairs of its distinct vectors are found, and equal vectors get one medoid.
+    ``links`` splits by given links instead, which must hold every similar pair.
     Typical ids are those closest to the centre, the closest first, ties by id.
     """
 
@@ -223,10 +258,17 @@ def describe_groups(rows: DataFrame, id_col: str, vector: str, groups: DataFrame
 
     vec = materialize(vector_tokens(rows.dropDuplicates([id_col]), id_col, vector, 1, 1).select("id", "vec"), "vectors")
     near = centred(groups)
-    if links is not None:
+    if links is not None or split:
         loose = near.groupBy("group_id").agg(F.avg("cosine").alias("m")).filter(F.col("m") < min_cosine).select("group_id")
-        inside = groups.join(loose, "group_id", "left_semi").select("id")
-        parts = split_around_medoids(links.join(inside.withColumnRenamed("id", "a"), "a", "left_semi"))
+        inside = materialize(groups.join(loose, "group_id", "left_semi").select("id", "group_id"), "loose")
+        if links is not None:
+            parts = split_around_medoids(links.join(inside.select(F.col("id").alias("a")), "a", "left_semi"))
+        else:
+            t = vec.join(inside, "id").withColumn("same", F.xxhash64("vec"))
+            first = materialize(t.groupBy("group_id", "same", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "distinct")
+            parts = split_around_medoids(similar_pairs_within(first.select("group_id", "id", "vec"), min_cosine), first.select("id", "copies"))
+            of = first.join(parts, "id").select("group_id", "same", "vec", "medoid")
+            parts = materialize(t.join(of, ["group_id", "same", "vec"]).select("id", "medoid"), "parts")
         near = centred(groups.join(parts, "id", "left").select("id", F.coalesce("medoid", "group_id").alias("group_id")))
     w = Window.partitionBy("group_id").orderBy(F.desc("cosine"), "id")
     best = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= typical)

@@ -23,7 +23,7 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "voice_speaker_clusters").select("id", "centroid").dropDuplicates(["id"])
     links = materialize(similar_vector_links(rows, "id", "centroid", 0.8), "links")
     groups = connected_components(links).withColumnsRenamed({"node": "id", "component": "group_id"})
-    return describe_groups(rows, "id", "centroid", materialize(groups, "groups"), links=links)
+    return describe_groups(rows, "id", "centroid", materialize(groups, "groups"), split=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

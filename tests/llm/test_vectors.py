@@ -1,5 +1,6 @@
 import numpy as np
 
+from mosaicry.llm import clusters
 from mosaicry.llm.clusters import band_recall, describe_groups, jaccard_of_cosine, similar_vector_links, split_around_medoids, vector_groups
 from mosaicry.llm.neighbours import fit_router, nearest, unit_vectors
 
@@ -88,3 +89,33 @@ def test_search_with_ties_and_nothing(spark):
     assert got == sorted((i, j) for i in range(20) for j in [x for x in range(20) if x != i][:2])
     assert nearest(u, u.limit(0), 2, 0.7).count() == 0 and nearest(u.limit(0), u, 2, 0.7).count() == 0
     assert isinstance(fit_router(u.limit(0)), bytes)
+
+
+def test_loose_groups_split_by_all_their_similar_pairs(spark):
+    # fans of directions 12 degrees apart, some stored several times; the best linked ones do not have the smallest ids
+    rng = np.random.default_rng(5)
+    rows = []
+    for fan in range(2):
+        for k in range(14):
+            v = np.zeros(8)
+            v[2 * fan], v[2 * fan + 1] = np.cos(np.radians(12 * k)), np.sin(np.radians(12 * k))
+            rows += [v.tolist()] * int(rng.integers(1, 5))
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(rows)), rows)]
+    x = dict(rows)
+    s = {(i, j): i != j and np.dot(x[i], x[j]) >= 0.8 for i in x for j in x}
+    rank = {i: (sum(s[i, j] for j in x), -i) for i in x}
+    medoid, left = {}, set(x)
+    while left:
+        lead = {i for i in left if all(rank[i] > rank[j] for j in left if s[i, j])}
+        for i in left:
+            if i in lead or any(s[i, j] for j in lead):
+                medoid[i] = i if i in lead else max((j for j in lead if s[i, j]), key=rank.get)
+        left -= set(medoid)
+    want = {m: list(medoid.values()).count(m) for m in medoid.values()}
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    g = vector_groups(df, "id", "vec", 0.8)
+    for block in (1024, 8):
+        clusters.PAIR_BLOCK = block
+        got = {r["group_id"]: r["size"] for r in describe_groups(df, "id", "vec", g, split=True).collect()}
+        assert got == want
+    clusters.PAIR_BLOCK = 1024
