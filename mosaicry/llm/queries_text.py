@@ -25,6 +25,12 @@ def p6_association(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items that occurs, with its counts and strength; nothing is cut."""
+    ctx = load(spark, d, "file_contexts").select("file_id", clean_items("derived_tags", "vocab_terms").alias("items"))
+    return pair_counts(ctx, "file_id", "items")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     hit = leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text", min_words=12)
     return hit.select("doc_id", "item_id")
@@ -47,7 +53,7 @@ def p10_forms(spark: SparkSession, d: str) -> DataFrame:
     return consistent_texts(load(spark, d, "documents"), "doc_id", "text").withColumnsRenamed({"id": "doc_id", "form": "text"})
 
 
-QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_association": p6_association, "p8_found": p8_found, "p8_report": p8_report}
+QUERIES = {"p10_found": p10_found, "p10_forms": p10_forms, "p6_found": p6_found, "p6_association": p6_association, "p6_pairs": p6_pairs, "p8_found": p8_found, "p8_report": p8_report}
 
 _P6 = r"""
 WITH base AS (
@@ -58,6 +64,16 @@ f AS (SELECT item, count(*) AS f FROM b GROUP BY item), t AS (SELECT count(DISTI
 p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.file_id = y.file_id AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 3),
 r AS (SELECT p.*, fa.f AS n_a, fb.f AS n_b, n FROM p JOIN f fa ON fa.item = item_a JOIN f fb ON fb.item = item_b, t WHERE n_ab * n >= 5 * fa.f * fb.f)
 """
+_P6_ALL = r"""
+WITH base AS (
+  SELECT DISTINCT file_id, lower(regexp_replace(x, '^\s+|\s+$', '', 'g')) AS item
+  FROM (SELECT file_id, unnest(list_concat(coalesce(derived_tags, []), coalesce(vocab_terms, []))) AS x FROM file_contexts) WHERE x IS NOT NULL),
+b AS (SELECT * FROM base WHERE item <> '' AND file_id IS NOT NULL),
+f AS (SELECT item, count(*) AS f FROM b GROUP BY item), t AS (SELECT count(DISTINCT file_id) AS n FROM b),
+p AS (SELECT x.item AS item_a, y.item AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.file_id = y.file_id AND x.item < y.item GROUP BY 1, 2),
+r AS (SELECT p.*, fa.f AS n_a, fb.f AS n_b, n FROM p JOIN f fa ON fa.item = item_a JOIN f fb ON fb.item = item_b, t)
+SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a::DOUBLE * n_b) AS lift,
+  (n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)) AS odds_ratio FROM r"""
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _P8 = f"""
 WITH iw AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL),
@@ -84,6 +100,7 @@ ORACLE = {
     "p6_association": _P6
     + """SELECT item_a, item_b, n_ab, n_a, n_b, n, n_ab * n / (n_a::DOUBLE * n_b) AS lift,
   (n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)) AS odds_ratio FROM r""",
+    "p6_pairs": _P6_ALL,
     "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
     "p8_report": _P8 + ", n AS (SELECT item_id, count(*) AS n_docs FROM hit GROUP BY item_id) SELECT item_id, task, coalesce(n_docs, 0) AS n_docs FROM (SELECT DISTINCT ON (item_id) item_id, task FROM eval_items) LEFT JOIN n USING (item_id)",
 }

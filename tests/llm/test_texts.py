@@ -1,6 +1,7 @@
 import random
 import re
 
+import __spark_entry__ as entry
 from mosaicry.llm.cooccurrence import clean_items, pair_counts
 from mosaicry.llm.leakage import leaked_items, words_of
 from mosaicry.llm.lookalike import compatible, consistent, consistent_texts, same_look_pairs
@@ -147,3 +148,11 @@ def test_turns_do_not_depend_on_slices(spark):
         last[f] = (s, want[i])
     assert a == b == want
     assert re.match("w", "w1")
+
+
+def test_every_pair_of_items_is_counted(spark, tmp_path):
+    # "sea" is in every file, "rare" in one: neither has a lift or a count that a cut would keep
+    rows = [(1, ["sea", " Boat"], None), (2, ["sea"], ["rare"]), (3, ["Sea ", "boat"], []), (4, ["sea"], ["quay", "boat"]), (5, None, None)]
+    spark.createDataFrame(rows, "file_id long, derived_tags array<string>, vocab_terms array<string>").write.parquet(f"{tmp_path}/file_contexts.parquet")
+    got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"], round(r["lift"], 9)) for r in entry.queries()["p6_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("boat", "sea"): (3, 3, 4, 4, 1.0), ("rare", "sea"): (1, 1, 4, 4, 1.0), ("quay", "sea"): (1, 1, 4, 4, 1.0), ("boat", "quay"): (1, 3, 1, 4, round(4 / 3, 9))}
