@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaicry.functions.dates import date_precision, temporal_fields
@@ -71,6 +73,41 @@ def token_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return g.filter("n_files >= 2")
 
 
+def _below_common_folder(spark: SparkSession, d: str) -> DataFrame:
+    """(id, source_id, filename, rel): every file with its path below what all paths begin with, as names; the path's root counts as a name until then."""
+    part = F.filter(F.split(F.translate("path", "\\", "/"), "/"), lambda x: ~x.isin("", "."))
+    root = F.when(F.col("path").rlike(r"^[/\\]"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
+    f = _files(spark, d).select("id", "source_id", "filename", F.when(F.length("path") > 0, F.concat(root, part)).alias("names"))
+    ends = f.agg(F.min("names").alias("lo"), F.max("names").alias("hi")).first()
+    k = len(os.path.commonprefix([ends["lo"] or [], ends["hi"] or []]))
+    rest = F.filter(F.slice("names", k + 1, F.greatest(F.size("names"), F.lit(1))), lambda x: x != "/")
+    return f.select("id", "source_id", "filename", F.coalesce(rest, F.array().cast("array<string>")).alias("rel"))
+
+
+def _relative_tokens() -> Column:
+    return path_tokens(F.when(F.size("rel") > 0, F.concat_ws("/", "rel")).otherwise(F.col("filename")))
+
+
+def relative_path_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of all files' paths below their common folder: how often, in how many files, folder depth of the first file with it, over how many sources, and what is proposed for them."""
+    f = _below_common_folder(spark, d)
+    t = f.select("id", "source_id", F.greatest(F.size("rel") - 1, F.lit(0)).cast("long").alias("depth"), F.explode(_relative_tokens()).alias("token"))
+    # a token counts once per path, as in the reference, where the tokens of a path are distinct
+    g = t.groupBy("token").agg(F.count("*").alias("frequency"), F.countDistinct("id").alias("n_files"), F.min_by("depth", "id").alias("depth"), (F.countDistinct("source_id") > 1).alias("cross_source"))
+    c = token_class(F.col("token"))
+    p = token_proposal(F.col("c.semantic_type"))
+    return g.withColumn("c", c).select("token", "frequency", "n_files", "depth", "cross_source", "c.pattern_class", "c.semantic_type", p["action"].alias("action"), p["extract_as"].alias("extract_as"))
+
+
+def relative_path_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring tokens of class word in the paths below the common folder, folders and extension included, in at least two files."""
+    f = _below_common_folder(spark, d)
+    t = f.select("id", F.filter(_relative_tokens(), lambda t: token_class(t)["pattern_class"] == "word").alias("t")).filter(F.size("t") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.concat_ws(" ", F.element_at("t", i), F.element_at("t", i + 1)))
+    g = t.select("id", F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("frequency"), F.countDistinct("id").alias("n_files"))
+    return g.filter("n_files >= 2")
+
+
 def canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_ids(load(spark, d, "files"))
 
@@ -173,13 +210,21 @@ def new_terms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scope_files, pending_hash, pending_aesthetic, pending_voice, pending_summary, folders, file_tokens, token_bigrams, canonical, moved_candidates, near_duplicates, score_pivot,
+        scope_files, pending_hash, pending_aesthetic, pending_voice, pending_summary, folders, file_tokens, token_bigrams, relative_path_tokens, relative_path_bigrams, canonical, moved_candidates, near_duplicates, score_pivot,
         score_bands, combined_scores, coverage_per_file, corpus_stats, search_text, temporal, date_precisions, rule_tags, event_facts, new_terms,
     )
 }
 
 _F = "SELECT DISTINCT ON (id) * FROM files"
 _TOK = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace({c}, '[/\\.]', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[-_\s]+'), lambda x: lower(trim(x))), lambda x: x <> '')"""
+_REL = rf"""f AS (SELECT id, source_id, filename, CASE WHEN path <> '' THEN list_concat(CASE WHEN replace(path, '\', '/') LIKE '/%' THEN ['/'] ELSE [] END, list_filter(string_split(replace(path, '\', '/'), '/'), lambda x: x NOT IN ('', '.'))) END AS c FROM ({_F})),
+m AS (SELECT min(c) AS lo, max(c) AS hi FROM f), k AS (SELECT coalesce(list_min(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[i] <> hi[i])) - 1, least(len(lo), len(hi))) AS k FROM m),
+r AS (SELECT id, source_id, filename, coalesce(list_filter(c[k + 1:], lambda x: x <> '/'), []) AS c FROM f, k),
+w AS (SELECT id, source_id, greatest(len(c) - 1, 0) AS depth, {_TOK.format(c="CASE WHEN len(c) > 0 THEN array_to_string(c, '/') ELSE filename END")} AS t FROM r),
+x AS (SELECT id, source_id, depth, unnest(t) AS token, unnest(range(len(t))) AS p FROM w), u AS (SELECT id, source_id, depth, token, min(p) AS p FROM x GROUP BY 1, 2, 3, 4),
+c AS (SELECT *, CASE WHEN regexp_matches(token, '^\d{{8}}$') THEN CASE WHEN token[1:4]::INT BETWEEN 1900 AND 2099 AND token[5:6]::INT BETWEEN 1 AND 12 AND token[7:8]::INT BETWEEN 1 AND 31 THEN '8digit_numeric/date' ELSE '8digit_numeric/unclassified' END
+  WHEN regexp_matches(token, '^\d{{6}}$') THEN CASE WHEN token[3:4]::INT BETWEEN 1 AND 12 AND token[5:6]::INT BETWEEN 1 AND 31 THEN '6digit_numeric/date' WHEN token[1:2]::INT <= 23 AND token[3:4]::INT <= 59 THEN '6digit_numeric/time' ELSE '6digit_numeric/unclassified' END
+  WHEN regexp_matches(token, '^\d{{3,4}}$') THEN 'sequential/sequential' WHEN regexp_matches(token, '^[a-z0-9]+$') THEN 'word/word' ELSE 'word/unclassified' END AS k FROM u)"""
 _MD = "(month({a}) = {m} AND day({a}) = {d})"
 _EASTER = """(SELECT make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM (
   SELECT *, (32 + 2 * e + 2 * i - h - k) % 7 AS l FROM (SELECT *, (19 * a + b - d - g + 15) % 30 AS h FROM (
@@ -219,6 +264,12 @@ SELECT token, n_files, depth, cross_source, pattern_class, semantic_type, CASE W
 x AS (SELECT id, unnest(t) AS token, unnest(range(len(t))) AS p FROM w), u AS (SELECT id, token, min(p) AS p FROM x GROUP BY 1, 2),
 k AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY p) AS p FROM u WHERE regexp_matches(token, '^[a-z0-9]+$') AND NOT regexp_matches(token, '^(\d{{8}}|\d{{6}}|\d{{3,4}})$'))
 SELECT a.token || ' ' || b.token AS bigram, count(DISTINCT a.id) AS n_files FROM k a JOIN k b ON a.id = b.id AND b.p = a.p + 1 GROUP BY 1 HAVING count(DISTINCT a.id) >= 2""",
+    "relative_path_tokens": f"""WITH {_REL},
+s AS (SELECT token, count(*) AS frequency, count(DISTINCT id) AS n_files, arg_min(depth, id) AS depth, count(DISTINCT source_id) > 1 AS cross_source, any_value(split_part(k, '/', 1)) AS pattern_class, any_value(split_part(k, '/', 2)) AS semantic_type FROM c GROUP BY token)
+SELECT *, CASE WHEN semantic_type IN ('date', 'time', 'code') THEN 'capture' WHEN semantic_type = 'sequential' THEN 'ignore' ELSE 'none' END AS action,
+  CASE semantic_type WHEN 'date' THEN 'file_date' WHEN 'time' THEN 'file_time' WHEN 'code' THEN 'route_number' ELSE '' END AS extract_as FROM s""",
+    "relative_path_bigrams": f"""WITH {_REL}, o AS (SELECT id, token, row_number() OVER (PARTITION BY id ORDER BY p) AS p FROM c WHERE k LIKE 'word/%')
+SELECT a.token || ' ' || b.token AS bigram, count(*) AS frequency, count(DISTINCT a.id) AS n_files FROM o a JOIN o b ON a.id = b.id AND b.p = a.p + 1 GROUP BY 1 HAVING count(DISTINCT a.id) >= 2""",
     "canonical": f"SELECT id, m AS canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY sha256) AS m FROM ({_F}) WHERE sha256 IS NOT NULL) WHERE id <> m",
     "moved_candidates": f"WITH f AS (SELECT id, path, sha256 FROM ({_F}) WHERE sha256 IS NOT NULL) SELECT a.id, count(*) AS n_others, arg_min(b.path, (b.path, b.id)) AS other_path FROM f a JOIN f b ON a.sha256 = b.sha256 AND a.id <> b.id GROUP BY a.id",
     "score_pivot": f"SELECT file_id, max(score) FILTER (model_name = 'nima_mobilenet') AS nima_mobilenet, max(score) FILTER (model_name = 'clip_vit_b32') AS clip_vit_b32 FROM {_SCORES} GROUP BY file_id HAVING max(score) FILTER (model_name = 'nima_mobilenet') >= 0.5",
