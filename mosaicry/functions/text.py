@@ -93,6 +93,18 @@ def name_parts(full: Column) -> Column:
     )
 
 
+#: A timestamp in a text, in brackets or with hours: four groups (hours, minutes, seconds, fraction) for either.
+STAMP = r"[\[({<*]\s*(?:(\d{1,3}):)?(\d{1,2}):(\d{2})(?:[.,](\d{1,3}))?\s*[\])}>*]|(?:^|[^\d])(\d{1,3}):(\d{2}):(\d{2})(?:[.,](\d{1,3}))?"
+
+
+def stamp_ms(text: Column) -> Column:
+    """The first timestamp written in a text, in milliseconds; null if there is none."""
+    part = lambda i: F.concat(F.regexp_extract(text, STAMP, i), F.regexp_extract(text, STAMP, i + 4))
+    number = lambda c: F.when(c != "", c.cast("long")).otherwise(0)
+    ms = ((number(part(1)) * 60 + number(part(2))) * 60 + number(part(3))) * 1000 + number(F.rpad(part(4), 3, "0"))
+    return F.when(text.rlike(STAMP), ms)
+
+
 def folder(path: Column) -> Column:
     """The parent folder with forward slashes."""
     return F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/[^/]*$", "")
