@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mosaicry.functions.vectors import hamming_hex
 
@@ -90,42 +92,81 @@ def distinct_frames(hashes: Column, max_bits: int) -> Column:
 def leaders(rows: DataFrame, key: str, id_col: str, order: str, vector: str, threshold: float, block: int = 5_000) -> DataFrame:
     """(id, key, leader, similarity): each vector in order joins the most similar running centroid of its key, if at least ``threshold``, or starts one.
 
-    The fold is sequential within a key. Keys are files of bounded length; a key with
-    more than ``block`` rows is folded in stretches of its order, each with leaders of
-    its own, so no task takes a key of unbounded size. Null and zero vectors are left
-    out.
+    The fold is sequential within a key. A key with more than ``block`` rows is folded in
+    stretches of its order; a full stretch hands its centroids and their counts to the
+    next one as a written table, so no task takes more rows than a stretch and the leaders are those of
+    one fold over the whole key. Null and zero vectors are left out. Keys share no leaders.
     """
     from mosaicry.operators.ranking import distributed_rank
+    from mosaicry.scratch import materialize
 
     r = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(order).alias("o"), F.col(vector).cast("array<float>").alias("v")).filter("key IS NOT NULL AND v IS NOT NULL")
-    r = distributed_rank(r.dropDuplicates(["id"]), ["key"], [F.asc("o"), F.asc("id")]).withColumn("part", F.floor(F.col("rank") / block))
-
-    def fold(b: pd.DataFrame) -> pd.DataFrame:
-        centres: list[np.ndarray] = []
-        counts: list[int] = []
-        names: list[int] = []
-        out = []
-        for i, v in zip(b.sort_values("rank")["id"], b.sort_values("rank")["v"]):
-            x = np.asarray(v, dtype=np.float64)
+    most = r.select("key", "id").distinct().groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    last = max(0, most - 1) // block
+    # ranks without the vectors, so that these are sorted and written nowhere
+    r = r.dropDuplicates(["id"])
+    ranks = distributed_rank(r.select("key", "id", "o"), ["key"], [F.asc("o"), F.asc("id")]).select("id", "rank")
+    r = r.drop("o").join(ranks, "id").withColumn("part", F.floor(F.col("rank") / block)).select("key", "part", "id", "rank", "v")
+    r = materialize(r, "ranked") if last else r
+    schema = f"id long, key {r.schema['key'].dataType.simpleString()}, leader long, similarity double, no long, members long, centre array<double>"
+
+    kinds = pa.schema([("id", pa.int64()), ("key", to_arrow_type(r.schema["key"].dataType)), ("leader", pa.int64()), ("similarity", pa.float64()), ("no", pa.int64()), ("members", pa.int64()), ("centre", pa.list_(pa.float64()))])
+
+    def fold(b: pa.Table, before: pa.Table | None = None) -> pa.Table:
+        names, counts, centres = [], [], np.zeros((0, 0))
+        if before is not None and before.num_rows:
+            before = before.sort_by("no")
+            names, counts = before.column("leader").to_pylist(), before.column("members").to_pylist()
+            centres = before.column("centre").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1).copy()
+        n = len(names)
+        ids, whom, how = [], [], []
+        b = b.sort_by("rank")
+        vs = b.column("v").combine_chunks()
+        for i, v in zip(b.column("id").to_pylist(), vs):
+            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
             size = np.linalg.norm(x)
             if not size or not np.isfinite(size):
                 continue
             x = x / size
-            sims = np.array(centres) @ x if centres else np.zeros(0)
-            k = int(sims.argmax()) if len(sims) else -1
+            sims = centres[:n] @ x if n else np.zeros(0)
+            k = int(sims.argmax()) if n else -1
             if k >= 0 and sims[k] >= threshold:
                 m = centres[k] * counts[k] + x
                 centres[k], counts[k] = m / max(np.linalg.norm(m), 1e-12), counts[k] + 1
-                out.append((i, b["key"].iloc[0], names[k], float(sims[k])))
+                whom.append(names[k])
+                how.append(float(sims[k]))
             else:
-                centres.append(x)
+                if n == len(centres):
+                    centres = np.concatenate([centres.reshape(n, len(x)), np.zeros((max(16, n), len(x)))])
+                centres[n] = x
+                n += 1
                 counts.append(1)
                 names.append(i)
-                out.append((i, b["key"].iloc[0], i, 1.0))
-        return pd.DataFrame(out, columns=["id", "key", "leader", "similarity"]).astype({"id": "int64", "leader": "int64", "similarity": "float64"})
-
-    kind = r.schema["key"].dataType.simpleString()
-    return r.select("key", "part", "id", "rank", "v").groupBy("key", "part").applyInPandas(fold, f"id long, key {kind}, leader long, similarity double").withColumnRenamed("key", key)
+                whom.append(i)
+                how.append(1.0)
+            ids.append(i)
+        kept = range(n) if b.num_rows == block else range(0)
+        f, g = [None] * len(ids), [None] * len(kept)
+        one = b.column("key")[0].as_py() if b.num_rows else None
+        cols = [ids + g, [one] * (len(ids) + len(kept)), whom + [names[k] for k in kept], how + g, f + list(kept), f + [counts[k] for k in kept], f + [centres[k] for k in kept]]
+        return pa.table([pa.array(c, t.type) for c, t in zip(cols, kinds)], schema=kinds)
+
+    def start(b: pa.Table) -> pa.Table:
+        return fold(b)
+
+    def go_on(b: pa.Table, before: pa.Table) -> pa.Table:
+        return fold(b, before)
+
+    # later stretches lie together in files, so that a round reads its own only
+    late = materialize(r.filter("part > 0").repartitionByRange("part").sortWithinPartitions("part"), "stretches") if last else None
+    state = done = None
+    for part in range(last + 1):
+        now = (late if part else r).filter(F.col("part") == part).groupBy("key")
+        step = now.applyInArrow(start, schema) if state is None else now.cogroup(state.groupBy("key")).applyInArrow(go_on, schema)
+        step = materialize(step, "leaders") if last else step
+        state, found = step.filter("id IS NULL"), step.filter("id IS NOT NULL").select("id", "key", "leader", "similarity")
+        done = found if done is None else done.unionByName(found)
+    return done.withColumnRenamed("key", key)
 
 
 def merged_centroid(a: Column, n: Column, b: Column, m: Column) -> Column:

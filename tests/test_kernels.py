@@ -40,3 +40,13 @@ def test_leaders(spark):
     c = spark.createDataFrame([([1.0, 0.0], 3, [0.0, 1.0], 4)], "a array<float>, n int, b array<float>, m int")
     got = c.select(merged_centroid(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("c")).first()["c"]
     assert [round(x, 5) for x in got] == [0.6, 0.8]
+
+
+def test_leaders_are_the_same_whatever_the_block(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((4, 8))
+    rows = [(i, i % 3 // 2, i, (base[rng.integers(4)] + 0.4 * rng.standard_normal(8)).tolist() if i % 7 else [0.0] * 8) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, f long, o int, v array<float>")
+    fold = lambda block: sorted((r["id"], r["f"], r["leader"], round(r["similarity"], 9)) for r in leaders(df, "f", "id", "o", "v", 0.75, block=block).collect())
+    whole = fold(5_000)
+    assert len(whole) == sum(1 for r in rows if any(r[3])) and fold(13) == whole and fold(20) == whole
