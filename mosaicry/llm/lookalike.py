@@ -117,12 +117,12 @@ def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def bigram_model(texts: DataFrame, text: str) -> dict[tuple[str, str], float]:
-    """log P(b | a) of letters inside tokens of one script, over all non-ASCII texts.
+    """log P(b | a) of letters inside tokens of one script, over all texts.
 
     Counted map-side; at most one number per pair of letters of three scripts
     reaches the driver, however large the corpus is.
     """
-    t = texts.select(F.col(text).alias("t")).filter(F.col("t").rlike(r"[^\x00-\x7F]"))
+    t = texts.select(F.col(text).alias("t")).filter("t IS NOT NULL")
     n = t.mapInArrow(_count_bigrams, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     rows = n.collect()
     total: Counter = Counter()

@@ -4,7 +4,7 @@ import re
 import __spark_entry__ as entry
 from mosaicry.llm.cooccurrence import clean_items, pair_counts
 from mosaicry.llm.leakage import leaked_items, words_of
-from mosaicry.llm.lookalike import compatible, consistent, consistent_texts, same_look_pairs
+from mosaicry.llm.lookalike import bigram_model, compatible, consistent, consistent_texts, same_look_pairs
 from mosaicry.llm.transcripts import Cleaner, speaker_turns, turn_texts
 
 
@@ -156,3 +156,8 @@ def test_every_pair_of_items_is_counted(spark, tmp_path):
     spark.createDataFrame(rows, "file_id long, derived_tags array<string>, vocab_terms array<string>").write.parquet(f"{tmp_path}/file_contexts.parquet")
     got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["n_a"], r["n_b"], r["n"], round(r["lift"], 9)) for r in entry.queries()["p6_pairs"](spark, str(tmp_path)).collect()}
     assert got == {("boat", "sea"): (3, 3, 4, 4, 1.0), ("rare", "sea"): (1, 1, 4, 4, 1.0), ("quay", "sea"): (1, 1, 4, 4, 1.0), ("boat", "quay"): (1, 3, 1, 4, round(4 / 3, 9))}
+
+
+def test_plain_texts_count_for_the_letter_pairs(spark):
+    model = bigram_model(spark.createDataFrame([("harbour",), ("\u043c\u043e\u0440\u0435",), (None,)], "t string"), "t")
+    assert {("h", "a"), ("o", "u"), ("\u043c", "\u043e")} <= set(model)
