@@ -2,9 +2,11 @@ import datetime
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from mosaicry.llm.mixing import mix, with_tokens
 from mosaicry.llm.names import link_names, parse, rewritings
-from mosaicry.llm.survivors import current_scores, current_values, duplicate_groups, survivors, value_precedence
+from mosaicry.llm.survivors import current_scores, current_values, duplicate_groups, field_values, survivors, value_precedence
 from mosaicry.operators.hashes import hamming_pairs
 
 
@@ -46,11 +48,28 @@ def test_current_values_by_learned_precedence(spark):
     for g in range(5):  # draft is regularly replaced by final
         rows += [(g, "draft", 1.0), (g, "final", 2.0)]
     rows += [(10, "draft", None), (10, "final", None), (11, "draft", 9.0), (12, "x", None), (12, "y", None), (12, "y", None), (13, None, 1.0), (14, "final", None), (14, "draft", 5.0), (15, "final", 1.0), (15, "draft", 2.0)]
-    df = spark.createDataFrame(rows, "g long, v string, at double")
-    assert [tuple(r) for r in value_precedence(df, "g", "v", "at").collect()] == [("draft", "final", 4)]
-    got = {r["g"]: r["v"] for r in current_values(df, "g", "v", "at").collect()}
+    df = spark.createDataFrame(rows, "g long, s string, at double")
+    v = field_values(df, "g", {"s": F.col("s")}, F.col("at"))
+    seen = v.groupBy("g", "field", "v").agg(F.max("at").alias("last"))
+    assert [tuple(r) for r in value_precedence(seen).collect()] == [("s", "draft", "final")]
+    got = {r["g"]: r["v"] for r in current_values(v, ("s",)).collect()}
     assert got == {0: "final", 1: "final", 2: "final", 3: "final", 4: "final", 10: "final", 11: "draft", 12: "y", 14: "final", 15: "draft"}
-    assert current_values(df.limit(0), "g", "v", "at").count() == 0
+    # a field nothing is learned for keeps the dated, the frequent, the smallest
+    assert {r["g"]: r["v"] for r in current_values(v).collect()} == got | {10: "draft", 14: "draft"}
+    assert current_values(v.limit(0), ("s",)).count() == 0
+
+
+def test_precedence_is_closed_over_absent_values(spark):
+    rows = []
+    for g in range(0, 30, 3):  # a before b, b before c, c before d; p, q and r form a cycle
+        rows += [(g, "a", 1.0), (g, "b", 2.0), (g + 1, "b", 1.0), (g + 1, "c", 2.0), (g + 2, "c", 4.0), (g + 2, "d", 5.0)]
+        rows += [(100 + g, "p", 1.0), (100 + g, "q", 2.0), (101 + g, "q", 1.0), (101 + g, "r", 2.0), (102 + g, "r", 1.0), (102 + g, "p", 2.0)]
+    rows += [(900, "a", None), (900, "d", None), (901, "a", 7.0), (901, "c", None), (902, "q", None), (902, "p", None), (903, "rare", None), (903, "b", None), (903, "b", None)]
+    # dated a and c with an undated b: b lies below c, so c stays
+    rows += [(904, "a", 1.0), (904, "c", 3.0), (904, "b", None)]
+    df = spark.createDataFrame(rows, "g long, s string, at double")
+    got = {r["g"]: r["v"] for r in current_values(field_values(df, "g", {"s": F.col("s")}, F.col("at")), ("s",)).filter("g >= 900").collect()}
+    assert got == {900: "d", 901: "c", 902: "p", 903: "b", 904: "c"}
 
 
 def test_parsing_of_names():
