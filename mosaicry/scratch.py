@@ -13,6 +13,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _open: set[tuple[int, str]] = set()
+#: How much larger than its files a table may be in memory; Spark's own factor of 1 broadcasts tables that do not fit.
+EXPANSION = "16.0"
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+
+
+def honest_sizes(spark: SparkSession) -> None:
+    """Let Spark estimate tables by what their compressed files may grow to, unless the session has its own factor.
+
+    Joins whose sides it cannot prove small are then shuffled; adaptive execution turns to
+    a broadcast when it has measured a side.
+    """
+    if float(spark.conf.get(_FACTOR)) == 1.0:
+        spark.conf.set(_FACTOR, EXPANSION)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +51,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaicry/{name}-{uuid.uuid4().hex}"
+    honest_sizes(spark)
     df.write.parquet(path)
     _open.add((id(spark), path))
     out = spark.read.schema(df.schema).parquet(path)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaicry.scratch import honest_sizes
+
 #: Bytes up to which a side whose size was measured may be broadcast.
 BROADCAST_LIMIT = 64 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    honest_sizes(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
