@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +20,45 @@ def hash_halves(hex16: Column) -> tuple[Column, Column]:
     return half(1), half(9)
 
 
+def _chosen_blocks(n: int, max_bits: int) -> int:
+    """How many of max_bits + k blocks to compare at once: the k with the least work for ``n`` hashes.
+
+    A larger k gives more keys a hash but of more bits, so fewer pairs meet by chance. Every k finds the same pairs.
+    """
+
+    def work(k: int) -> float:
+        keys, bits = comb(max_bits + k, k), 64 * k // (max_bits + k)
+        return 2.0 * keys * n + keys * n * n / 2 / 2**bits / 8
+
+    return min((k for k in range(1, 17) if comb(max_bits + k, k) <= 1024 and 64 * k // (max_bits + k) <= 40), key=work)
+
+
 def hamming_pairs(hashes: DataFrame, id_col: str, hi: str, lo: str, max_bits: int = 5) -> DataFrame:
     """(a, b, bits) of distinct hashes whose 64 bits differ in at most ``max_bits``, a < b.
 
-    The bits are cut into blocks so that some block of a pair differs in at most one
-    bit: with n blocks, max_bits < 2 n. Each hash lies in its blocks and probes them
-    with no and with one flipped bit, which finds every pair. Ids must be unique and
-    each hash should occur once; a crowded block value is cut into parts.
+    The bits are cut into max_bits + k blocks; a pair within reach agrees in k blocks at
+    least, so it shares the key of some choice of k blocks. k grows with the number of hashes,
+    which keeps chance meetings in proportion. Ids must be unique and each hash should
+    occur once; a crowded key is cut into parts.
     """
-    blocks = max(2, max_bits // 2 + 1)
     if not 0 <= max_bits <= 15:
         raise ValueError("max_bits must lie in 0 to 15")
+    k = _chosen_blocks(hashes.count(), max_bits)
+    blocks = max_bits + k
     cut = [64 * i // blocks for i in range(blocks + 1)]
     h = hashes.select(F.col(id_col).alias("id"), F.shiftleft(F.col(hi), 32).bitwiseOR(F.col(lo)).alias("h"))
-    value = [F.shiftrightunsigned("h", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cut, cut[1:])]
-    tag = [F.lit(i << 58) for i in range(blocks)]
-    base = h.select(F.explode(F.array(*[v.bitwiseOR(t) for v, t in zip(value, tag)])).alias("k"), F.col("id").alias("b"), F.col("h").alias("hb"))
-    probes = [v.bitwiseOR(tag[i]) for i, (a, b) in enumerate(zip(cut, cut[1:])) for v in [value[i], *[value[i].bitwiseXOR(F.lit(1 << j)) for j in range(b - a)]]]
-    probe = h.select(F.explode(F.array(*probes)).alias("k"), F.col("id").alias("a"), F.col("h").alias("ha"))
+    keys = []
+    for tag, chosen in enumerate(combinations(range(blocks), k)):
+        key = F.lit(tag).cast("long")
+        for i in chosen:
+            a, b = cut[i], cut[i + 1]
+            part = F.shiftrightunsigned("h", a).bitwiseAND((1 << (b - a)) - 1) if b - a < 64 else F.col("h")
+            key = F.shiftleft(key, b - a).bitwiseOR(part) if b - a < 64 else part
+        keys.append(key)
+    each = h.select(F.explode(F.array(*keys)).alias("k"), "id", "h")
+    left, right = each.withColumnsRenamed({"id": "a", "h": "ha"}), each.withColumnsRenamed({"id": "b", "h": "hb"})
     bits = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return salted_join(base, probe, "k", "b").filter((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "b", bits.alias("bits")).distinct()
+    return salted_join(left, right, "k", "a").filter((F.col("a") < F.col("b")) & (bits <= max_bits)).select("a", "b", bits.alias("bits")).distinct()
 
 
 def star_links(rows: DataFrame, node: str, key: str) -> DataFrame:
