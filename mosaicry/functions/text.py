@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where a capital begins a new word inside a name.
+# Fixed value: the pattern of places where a capital begins a new word inside a name.
 _HUMP = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 
 
@@ -72,11 +72,16 @@ def template(format_str: str | None, text: Column, pattern: str) -> Column:
     return F.concat(*out, F.lit(format_str[at:]))
 
 
+def word_list(text: Column) -> Column:
+    """The words of a text between blanks."""
+    return F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+
+
 def word_windows(text: Column, size: int, overlap: int) -> Column:
     """Windows of ``size`` words that overlap by ``overlap``; the last one ends with the text. Empty texts give none."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be smaller than size")
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    words = word_list(text)
     n = F.size(words)
     starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), n - overlap), F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda s: F.array_join(F.slice(words, s, size), " "))

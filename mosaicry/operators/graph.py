@@ -9,7 +9,7 @@ from mosaicry.functions.geo import usable_point
 from mosaicry.operators.components import connected_components
 from mosaicry.operators.skew import salted_join
 from mosaicry.operators.spatial import near_pairs
-from mosaicry.scratch import materialize
+from mosaicry.scratch import materialize, release
 
 
 def npmi_edges(facts: DataFrame, doc: str, term: str, min_score: float = 0.1, min_docs: int = 1) -> DataFrame:
@@ -32,27 +32,31 @@ def npmi_edges(facts: DataFrame, doc: str, term: str, min_score: float = 0.1, mi
     return pairs.withColumn("score", score).filter(F.col("score") >= min_score).select("term_a", "term_b", "n_ab", "score")
 
 
-def communities(edges: DataFrame, a: str, b: str, weight: str, rounds: int = 20) -> DataFrame:
+def communities(edges: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     """(node, community) by weighted label propagation; a community is named by its smallest node.
 
-    In every round each node takes the label with the greatest weight among its
-    neighbours and itself, ties to the smaller label; nodes of one half (by hash) move
-    in even rounds, the others in odd ones, which keeps labels from swapping for ever.
-    It stops when nothing moves or after ``rounds``.
+    A node wants the label with the greatest weight among its neighbours (ties: the
+    smaller label) if that is more than its own label has there. Of neighbours that
+    want to move only the one with the most to gain does (ties: by hash), so every
+    move adds to the weight inside communities and the rounds end by themselves when
+    nobody gains. The outcome depends on the edges only.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.col(weight).alias("w")).filter("u <> v")
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"), F.round(F.col(weight).cast("double"), 9).alias("w")).filter("u <> v")
     e = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")), "edges")
     label = materialize(e.select("u").distinct().withColumn("label", F.col("u")), "labels")
-    still = 0
-    for i in range(rounds):
+    while True:
         votes = e.join(label.withColumnRenamed("u", "v"), "v").groupBy("u", "label").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("u").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("m"))
-        turn = F.pmod(F.xxhash64("u"), F.lit(2)) == i % 2
-        new = materialize(label.join(best, "u").select("u", F.when(turn, F.col("m.label")).otherwise(F.col("label")).alias("label"), F.col("label").alias("old")), "labels")
-        moved = new.filter("label <> old").limit(1).count()
-        label, still = new.drop("old"), 0 if moved else still + 1
-        if still == 2:
+        best = votes.groupBy("u").agg(F.min(F.struct((-F.round("w", 6)).alias("w"), "label")).alias("m"))
+        own = label.join(votes, ["u", "label"], "left").select("u", F.coalesce(F.round("w", 6), F.lit(0.0)).alias("own"))
+        want = best.join(own, "u").select("u", F.col("m.label").alias("new"), F.struct((-F.col("m.w") - F.col("own")).alias("gain"), F.xxhash64("u").alias("h"), "u").alias("r"))
+        want = materialize(want.filter(F.col("r.gain") > 1e-6), "wants")
+        if want.isEmpty():
             break
+        ahead = e.select("u", "v").join(want.select(F.col("u").alias("v"), F.col("r").alias("rv")), "v").groupBy("u").agg(F.max("rv").alias("rv"))
+        move = want.join(ahead, "u", "left").filter("rv IS NULL OR r > rv").select("u", "new")
+        last, label = label, materialize(label.join(move, "u", "left").select("u", F.coalesce("new", "label").alias("label")), "labels")
+        release(last)
+        release(want)
     name = label.groupBy("label").agg(F.min("u").alias("community"))
     return label.join(name, "label").select(F.col("u").alias("node"), "community")
 

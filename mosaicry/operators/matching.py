@@ -120,10 +120,15 @@ def similar_names(names: DataFrame, name: str, threshold: float = 0.85) -> DataF
     cut = cut.select("name", "s", "len", F.col("w").alias("size"), F.substring("s", F.col("i") * F.col("w") + 1, F.col("w")).alias("piece")).filter("length(piece) = size").distinct()
     sizes = n.select(width.alias("size"), F.col("len").alias("l2")).distinct()
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    want = n.select("name", "s", "len").join(F.broadcast(sizes), (F.col("l2") >= F.col("len") * low) & (F.col("l2") <= F.col("len") * high))
+    reach = F.sequence(F.ceil(F.col("len") * low).cast("int"), F.floor(F.col("len") * high).cast("int"))
+    want = n.select("name", "s", F.explode(reach).alias("l2")).join(sizes, "l2")
     want = want.select("name", "s", "size").distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.greatest(F.length("s") - F.col("size") + 1, F.lit(1)))))
     want = want.select(F.col("name").alias("b"), F.col("s").alias("sb"), "size", F.substring("s", F.col("j"), F.col("size")).alias("piece")).distinct()
-    cand = cut.select(F.col("name").alias("a"), F.col("s").alias("sa"), "size", "piece").join(want, ["size", "piece"]).filter("a <> b AND sa <> sb")
+    # a piece may be very common: it is cut into parts; the two names must share enough letters whatever their order
+    cut = cut.select(F.col("name").alias("a"), F.col("s").alias("sa"), F.concat_ws(" ", "size", "piece").alias("k"))
+    want = want.select("b", "sb", F.concat_ws(" ", "size", "piece").alias("k"))
+    cand = salted_join(cut, want, "k", "a").filter("a <> b AND sa <> sb")
+    cand = cand.filter(2 * F.least(F.length("sa"), F.length("sb")) >= threshold * (F.length("sa") + F.length("sb")))
     cand = cand.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("sb")).otherwise(F.col("sa")).alias("y")).distinct()
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

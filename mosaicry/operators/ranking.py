@@ -18,19 +18,26 @@ BANDS = {
 def distributed_rank(df: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """``df`` with ``rank`` (from 0, by ``order``) and ``n`` (rows) of each group.
 
-    Rows are sorted by range over all tasks and numbered inside each range; what
-    comes before a range is a sum over range sizes, of which there are few. The order
-    should be total, or ties fall anyhow.
+    The order should be total, or ties fall anyhow.
+    """
+    return running_total(df, group, order, F.lit(1)).withColumnsRenamed({"before": "rank", "total": "n"})
+
+
+def running_total(df: DataFrame, group: list[str], order: list[Column], amount: Column) -> DataFrame:
+    """``df`` with ``before``, the sum of ``amount`` over the rows of its group that come earlier by ``order``, and ``total``, that of the group.
+
+    Rows are sorted by range over all tasks and summed inside each range; what
+    comes before a range is a sum over range sums, of which there are few.
     """
     plain = [F.asc(c) if isinstance(c, str) else c for c in order]
-    t = df.repartitionByRange(*[F.col(g) for g in group], *plain).withColumn("_p", F.spark_partition_id())
+    t = df.repartitionByRange(*[F.col(g) for g in group], *plain).withColumns({"_p": F.spark_partition_id(), "_a": amount.cast("long")})
     t = materialize(t, "ranges")
     inside = Window.partitionBy("_p", *group).orderBy(*plain)
-    sizes = t.groupBy("_p", *group).agg(F.count("*").alias("_c"))
+    sizes = t.groupBy("_p", *group).agg(F.sum("_a").alias("_c"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_c").over(over)).drop("_c")
-    out = t.withColumn("_r", F.row_number().over(inside)).join(sizes, ["_p", *group])
-    return out.withColumn("rank", F.col("_before") + F.col("_r") - 1).drop("_p", "_r", "_before")
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_c").over(over)).drop("_c")
+    out = t.withColumn("_r", F.sum("_a").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sizes, ["_p", *group])
+    return out.withColumn("before", F.col("_before") + F.col("_r") - F.col("_a")).drop("_p", "_r", "_a", "_before")
 
 
 def band(score: Column, model: Column) -> Column:
@@ -68,3 +75,22 @@ def quality_rank(rows: DataFrame, id_col: str = "file_id") -> DataFrame:
     r = rank_share(rows.select(F.col(id_col).alias("id"), "sharpness", "exposure", "highlights", "shadows"), [], "sharpness", "id")
     share = F.col("share")
     return r.select("id", ((share + (1 - 2 * F.abs(F.col("exposure") - 0.5)) + (1 - F.col("highlights")) + (1 - F.col("shadows"))) / 4).alias("quality_rank"))
+
+
+def word_blocks(pieces: DataFrame, group: str, order: list[str], words: str, size: int, shared: int) -> DataFrame:
+    """(group, no, window): windows of ``size`` words of each group's pieces in order, each sharing ``shared`` with the one before.
+
+    ``words`` is an array. A running total says where each piece begins, so every window is put together from
+    its own pieces only and no group is gathered. A window begins
+    only where more than ``shared`` words are left, the first one always.
+    """
+    t = running_total(pieces, [group], [F.asc(c) for c in order], F.size(words))
+    step, n = size - shared, F.size(words)
+    first = F.greatest(F.floor((F.col("before") - size) / step) + 1, F.lit(0))
+    t = t.withColumn("no", F.explode(F.sequence(first, F.floor((F.col("before") + n - 1) / step))))
+    t = t.filter((F.col("no") == 0) | (F.col("no") * step < F.col("total") - shared))
+    lo = F.greatest(F.col("no") * step - F.col("before"), F.lit(0))
+    hi = F.least(F.col("no") * step + size - F.col("before"), n.cast("long"))
+    part = F.array_join(F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")), " ")
+    g = t.filter(hi > lo).groupBy(group, "no").agg(F.sort_array(F.collect_list(F.struct("before", part.alias("p")))).alias("s"))
+    return g.select(group, "no", F.array_join(F.transform("s", lambda x: x["p"]), " ").alias("window"))

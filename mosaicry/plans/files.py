@@ -56,8 +56,8 @@ def folders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of image names: how often, at which place first, over how many sources, and what is proposed for them."""
-    t = _files(spark, d).filter("file_type = 'image'").select("id", "source_id", F.posexplode(path_tokens(F.col("filename"))).alias("pos", "token"))
+    """Tokens of file names: how often, at which place first, over how many sources, and what is proposed for them."""
+    t = _files(spark, d).select("id", "source_id", F.posexplode(path_tokens(F.col("filename"))).alias("pos", "token"))
     g = t.groupBy("token").agg(F.countDistinct("id").alias("n_files"), F.min_by("pos", F.struct("id", "pos")).cast("long").alias("depth"), (F.countDistinct("source_id") > 1).alias("cross_source"))
     c = token_class(F.col("token"))
     p = token_proposal(F.col("c.semantic_type"))
@@ -250,7 +250,7 @@ ORACLE = {
     "pending_voice": f"SELECT id FROM ({_F}) f WHERE file_type IN ('audio', 'video') AND NOT EXISTS (SELECT 1 FROM file_voice_embeddings a WHERE a.file_id = f.id)",
     "pending_summary": f"SELECT id FROM ({_F}) f WHERE canonical_id IS NULL AND (EXISTS (SELECT 1 FROM transcript_segments t WHERE t.file_id = f.id) OR EXISTS (SELECT 1 FROM file_contexts c WHERE c.file_id = f.id)) AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.file_id = f.id AND kind = 'summary')",
     "folders": rf"SELECT source_id, regexp_replace(replace(path, '\', '/'), '/[^/]*$', '') AS folder, count(*) AS n_files FROM ({_F}) GROUP BY 1, 2",
-    "file_tokens": rf"""WITH w AS (SELECT id, source_id, {_TOK.format(c="filename")} AS t FROM ({_F}) WHERE file_type = 'image'),
+    "file_tokens": rf"""WITH w AS (SELECT id, source_id, {_TOK.format(c="filename")} AS t FROM ({_F})),
 x AS (SELECT id, source_id, unnest(t) AS token, unnest(range(len(t))) AS p FROM w),
 u AS (SELECT id, source_id, token, row_number() OVER (PARTITION BY id ORDER BY min(p)) - 1 AS pos FROM x GROUP BY 1, 2, 3),
 g AS (SELECT token, count(*) AS n_files, arg_min(pos, (id, pos)) AS depth, count(DISTINCT source_id) > 1 AS cross_source FROM u GROUP BY token),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaicry.functions.geo import box_to_pixels
-from mosaicry.functions.text import STAMP, name_parts, stamp_ms, word_windows
+from mosaicry.functions.text import STAMP, name_parts, stamp_ms, word_list
 from mosaicry.functions.vectors import cosine, norm
 from mosaicry.operators.facts import prefer, trimmed_centroids
 from mosaicry.operators.graph import communities, npmi_edges
 from mosaicry.operators.matching import best_overlap
+from mosaicry.operators.ranking import word_blocks
 from mosaicry.operators.skew import left_join
 from mosaicry.tables import load, once
 
@@ -39,17 +40,10 @@ def voice_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transcript_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of 200 words of each file's text, each sharing 20 with the one before; segments without start_ms are left out."""
-    s = _segments(spark, d).filter("length(trim(text)) > 0 AND start_ms IS NOT NULL")
-    text = s.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "id", "text"))), lambda r: r["text"]), " ").alias("text"))
-    return text.select("file_id", F.posexplode(word_windows(F.col("text"), 200, 20)).alias("no", "window")).select("file_id", F.col("no").cast("long").alias("no"), "window")
-
-
-def all_transcript_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 200 words of each file's whole text, each sharing 20 with the one before; segments without start_ms stand by the timestamp in their text, else last."""
-    s = _segments(spark, d).filter("length(trim(text)) > 0").withColumn("at", F.coalesce("start_ms", stamp_ms(F.col("text"))))
-    text = s.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("at").isNull().alias("late"), "at", "id", "text"))), lambda r: r["text"]), " ").alias("text"))
-    return text.select("file_id", F.posexplode(word_windows(F.col("text"), 200, 20)).alias("no", "window")).select("file_id", F.col("no").cast("long").alias("no"), "window")
+    at = F.coalesce("start_ms", stamp_ms(F.col("text")))
+    s = _segments(spark, d).select("file_id", "id", at.isNull().alias("late"), at.alias("at"), word_list(F.col("text")).alias("w"))
+    return word_blocks(s.filter("file_id IS NOT NULL AND size(w) > 0"), "file_id", ["late", "at", "id"], "w", 200, 20)
 
 
 def people_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +98,7 @@ def term_communities(spark: SparkSession, d: str) -> DataFrame:
     return communities(npmi_edges(_terms(spark, d), "file_id", "term", 0.1, 3), "term_a", "term_b", "score")
 
 
-QUERIES = {f.__name__: f for f in (segment_voices, voice_labels, transcript_windows, all_transcript_windows, people_counts, person_names, face_regions, voice_centroids, centroid_drift, term_npmi, term_communities)}
+QUERIES = {f.__name__: f for f in (segment_voices, voice_labels, transcript_windows, people_counts, person_names, face_regions, voice_centroids, centroid_drift, term_npmi, term_communities)}
 
 _V = "(SELECT DISTINCT ON (id) id, file_id, start_ms, end_ms, speaker_label, cluster_id, person_id FROM file_voice_segments)"
 #: Segments with the time ``at_ms``: start_ms, else the timestamp in the text.
@@ -122,9 +116,7 @@ ORACLE = {
 SELECT segment_id, arg_min(voice_id, (-o, voice_id)) AS voice_id, max(o) AS overlap_ms FROM o WHERE o > 0 GROUP BY 1""",
     "voice_labels": f"""SELECT v.id, coalesce(CASE WHEN trim(preferred_name) <> '' THEN preferred_name END, CASE WHEN trim(label) <> '' THEN label END, speaker_label) AS label FROM {_V} v
 LEFT JOIN (SELECT DISTINCT ON (id) id, preferred_name FROM people) p ON p.id = v.person_id LEFT JOIN (SELECT DISTINCT ON (id) id, label FROM voice_speaker_clusters) c ON c.id = v.cluster_id""",
-    "transcript_windows": r"""WITH s AS (SELECT DISTINCT ON (id) * FROM transcript_segments WHERE length(trim(text)) > 0 AND start_ms IS NOT NULL), t AS (SELECT file_id, list_filter(regexp_split_to_array(trim(string_agg(text, ' ' ORDER BY start_ms, id)), '\s+'), lambda x: x <> '') AS w FROM s GROUP BY 1),
-n AS (SELECT file_id, w, unnest(range(1, greatest(1, len(w) - 20) + 1, 180)) AS a FROM t WHERE len(w) > 0) SELECT file_id, (a - 1) // 180 AS no, array_to_string(w[a:a+199], ' ') AS window FROM n""",
-    "all_transcript_windows": rf"""WITH {TIMED}, t AS (SELECT file_id, list_filter(regexp_split_to_array(trim(string_agg(text, ' ' ORDER BY at_ms NULLS LAST, id)), '\s+'), lambda x: x <> '') AS w FROM s GROUP BY 1),
+    "transcript_windows": rf"""WITH {TIMED}, t AS (SELECT file_id, list_filter(regexp_split_to_array(trim(string_agg(text, ' ' ORDER BY at_ms NULLS LAST, id)), '\s+'), lambda x: x <> '') AS w FROM s GROUP BY 1),
 n AS (SELECT file_id, w, unnest(range(1, greatest(1, len(w) - 20) + 1, 180)) AS a FROM t WHERE len(w) > 0) SELECT file_id, (a - 1) // 180 AS no, array_to_string(w[a:a+199], ' ') AS window FROM n""",
     "people_counts": f"""SELECT p.id, preferred_name, coalesce(v.n, 0) AS n_segments, coalesce(c.n, 0) AS n_clusters FROM (SELECT DISTINCT ON (id) * FROM people) p LEFT JOIN (SELECT person_id, count(*) AS n FROM {_V} GROUP BY 1) v ON v.person_id = p.id
 LEFT JOIN (SELECT person_id, count(DISTINCT id) AS n FROM voice_speaker_clusters GROUP BY 1) c ON c.person_id = p.id""",

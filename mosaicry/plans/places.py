@@ -10,7 +10,7 @@ from mosaicry.operators.facts import prefer
 from mosaicry.operators.graph import dbscan
 from mosaicry.operators.matching import mentions, nearest_place, places_within, similar_names
 from mosaicry.operators.spatial import containing_polygons
-from mosaicry.tables import load, once
+from mosaicry.tables import load, once, small
 
 LEVELS = {"custom": 0, "state": 1, "country": 2}
 
@@ -41,7 +41,7 @@ def region_labels(spark: SparkSession, d: str) -> DataFrame:
     known = lambda c: F.when((F.col(c) != "") & (F.col(c) != "-99"), F.col(c)).alias(c)
     r = r.select(F.col("region_id").alias("poly_id"), "level", *[known(c) for c in ("country", "country_code", "state", "custom_name")])
     rank = F.create_map(*[F.lit(x) for p in LEVELS.items() for x in p])
-    best = prefer(hit.join(F.broadcast(r), "poly_id"), ["id"], [F.coalesce(F.try_element_at(rank, F.col("level")), F.lit(9)), F.col("poly_id")])
+    best = prefer(hit.join(small(r, 400), "poly_id"), ["id"], [F.coalesce(F.try_element_at(rank, F.col("level")), F.lit(9)), F.col("poly_id")])
     return best.select("id", F.col("poly_id").alias("region_id"), "country", "country_code", "state", "custom_name")
 
 
@@ -49,7 +49,7 @@ def zone_masks(spark: SparkSession, d: str) -> DataFrame:
     """Coordinates of points in a privacy zone as they may be shown: strip beats coarsen, then the fewest places."""
     z = once(load(spark, d, "privacy_zones"), "zone_id")
     pts = _points(spark, d)
-    hit = containing_polygons(pts, "id", "lat", "lon", z, "zone_id").join(F.broadcast(z.select(F.col("zone_id").alias("poly_id"), "mode", "decimal_places")), "poly_id")
+    hit = containing_polygons(pts, "id", "lat", "lon", z, "zone_id").join(small(z.select(F.col("zone_id").alias("poly_id"), "mode", "decimal_places"), 100), "poly_id")
     best = prefer(hit, ["id"], [F.col("mode") == "coarsen", F.coalesce("decimal_places", F.lit(2)), F.col("poly_id")])
     j = best.join(pts.select("id", "lat", "lon"), "id")
     m = lambda c: masked(F.col(c), F.col("mode"), F.coalesce("decimal_places", F.lit(2)))

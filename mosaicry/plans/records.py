@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaicry.functions.text import path_tokens, stamp_ms, token_class
-from mosaicry.operators.facts import joined_text, resolve_links, same_set_key
+from mosaicry.operators.facts import resolve_links, same_set_key
 from mosaicry.operators.kernels import leaders
 from mosaicry.plans.people import TIMED
 from mosaicry.tables import load, once
@@ -36,26 +36,20 @@ def token_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_records(spark: SparkSession, d: str) -> DataFrame:
-    """One wide record per file: its longest description, transcript, tags, terms, date and place; segments without start_ms are left out."""
+    """One wide record per file: its longest description, whole transcript, tags, terms, date and place.
+
+    Segments without start_ms stand by the timestamp in their text, else last.
+    """
     docs = load(spark, d, "documents").filter("file_id IS NOT NULL AND length(text) > 0")
     best = docs.groupBy("file_id").agg(F.max_by("text", F.struct(F.length("text"), -F.col("doc_id"))).alias("description"))
-    seg = once(load(spark, d, "transcript_segments"), "id").filter("length(trim(text)) > 0 AND start_ms IS NOT NULL")
+    seg = once(load(spark, d, "transcript_segments"), "id").filter("length(trim(text)) > 0").withColumn("at", F.coalesce("start_ms", stamp_ms(F.col("text"))))
     line = F.concat(F.coalesce(F.concat(F.trim("speaker_label"), F.lit(": ")), F.lit("")), F.trim("text"))
-    lines = seg.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start_ms", "id", line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"))
+    lines = seg.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("at").isNull().alias("late"), "at", "id", line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"))
     ctx = once(load(spark, d, "file_contexts"), "file_id").select("file_id", F.array_join(F.array_sort(F.array_distinct("derived_tags")), "|").alias("tags"), F.array_join(F.array_sort(F.array_distinct("vocab_terms")), "|").alias("terms"), "metadata_date", "metadata_location")
     f = once(load(spark, d, "files"), "id").select(F.col("id").alias("file_id"), "filename", "file_type")
     return f.join(best, "file_id", "left").join(lines, "file_id", "left").join(ctx, "file_id", "left")
 
 
-def all_file_records(spark: SparkSession, d: str) -> DataFrame:
-    """file_records with whole transcripts: segments without start_ms stand by the timestamp in their text, else last."""
-    seg = once(load(spark, d, "transcript_segments"), "id").filter("length(trim(text)) > 0").withColumn("at", F.coalesce("start_ms", stamp_ms(F.col("text"))))
-    line = F.concat(F.coalesce(F.concat(F.trim("speaker_label"), F.lit(": ")), F.lit("")), F.trim("text"))
-    lines = seg.groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("at").isNull().alias("late"), "at", "id", line.alias("l")))), lambda x: x["l"]), "\n").alias("transcript"))
-    r = file_records(spark, d)
-    return r.drop("transcript").join(lines, "file_id", "left").select(r.columns)
-
-
 def source_overlap(spark: SparkSession, d: str) -> DataFrame:
     """How many contents each two sources have in common."""
     f = load(spark, d, "files").filter("sha256 IS NOT NULL AND source_id IS NOT NULL").select("sha256", "source_id").distinct()
@@ -76,19 +70,13 @@ def place_chain(spark: SparkSession, d: str) -> DataFrame:
     return resolve_links(n.unionByName(r), "key", "parent", "name", 3)
 
 
-def person_words(spark: SparkSession, d: str) -> DataFrame:
-    """The notes on people by family, each distinct note once and in order."""
-    p = once(load(spark, d, "people"), "id").filter("length(trim(notes)) > 0").select(F.coalesce("title", F.lit("none")).alias("title"), "notes")
-    return joined_text(p, "title", "notes", "; ")
-
-
 def voice_leaders(spark: SparkSession, d: str) -> DataFrame:
     """Voice segments of each file in the order of time, grouped around running centroids."""
     v = load(spark, d, "file_voice_segments").select("id", "file_id", "start_ms", "embedding")
     return leaders(v, "file_id", "id", "start_ms", "embedding", 0.75).select("id", "file_id", "leader")
 
 
-QUERIES = {f.__name__: f for f in (stage_counts, token_groups, file_records, all_file_records, source_overlap, tag_sets, place_chain, person_words, voice_leaders)}
+QUERIES = {f.__name__: f for f in (stage_counts, token_groups, file_records, source_overlap, tag_sets, place_chain, voice_leaders)}
 
 _TOK = r"""list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(filename, '[/\\.]', ' ', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[-_\s]+'), lambda x: lower(trim(x))), lambda x: x <> ''))"""
 
@@ -100,16 +88,11 @@ c AS (SELECT *, CASE WHEN regexp_matches(token, '^\d{{8}}$') THEN CASE WHEN toke
   WHEN regexp_matches(token, '^\d{{3,4}}$') THEN 'sequential/sequential' WHEN regexp_matches(token, '^[a-z0-9]+$') THEN 'word/word' ELSE 'word/unclassified' END AS k FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, token) AS p FROM c)
 SELECT split_part(k, '/', 1) AS pattern_class, split_part(k, '/', 2) AS semantic_type, count(*) AS n_tokens, sum(n)::BIGINT AS n_files, string_agg(token, ' ' ORDER BY p) FILTER (p <= 5) AS commonest FROM r GROUP BY k""",
-    "file_records": """WITH f AS (SELECT DISTINCT ON (id) id AS file_id, filename, file_type FROM files), b AS (SELECT file_id, arg_max(text, (length(text), -doc_id)) AS description FROM documents WHERE file_id IS NOT NULL AND length(text) > 0 GROUP BY 1),
-s AS (SELECT DISTINCT ON (id) * FROM transcript_segments WHERE length(trim(text)) > 0 AND start_ms IS NOT NULL), l AS (SELECT file_id, string_agg(coalesce(trim(speaker_label) || ': ', '') || trim(text), chr(10) ORDER BY start_ms, id) AS transcript FROM s GROUP BY 1),
-c AS (SELECT DISTINCT ON (file_id) file_id, array_to_string(list_sort(list_distinct(derived_tags)), '|') AS tags, array_to_string(list_sort(list_distinct(vocab_terms)), '|') AS terms, metadata_date, metadata_location FROM file_contexts)
-SELECT f.*, description, transcript, tags, terms, metadata_date, metadata_location FROM f LEFT JOIN b USING (file_id) LEFT JOIN l USING (file_id) LEFT JOIN c USING (file_id)""",
-    "all_file_records": f"""WITH f AS (SELECT DISTINCT ON (id) id AS file_id, filename, file_type FROM files), b AS (SELECT file_id, arg_max(text, (length(text), -doc_id)) AS description FROM documents WHERE file_id IS NOT NULL AND length(text) > 0 GROUP BY 1),
+    "file_records": f"""WITH f AS (SELECT DISTINCT ON (id) id AS file_id, filename, file_type FROM files), b AS (SELECT file_id, arg_max(text, (length(text), -doc_id)) AS description FROM documents WHERE file_id IS NOT NULL AND length(text) > 0 GROUP BY 1),
 {TIMED}, l AS (SELECT file_id, string_agg(coalesce(trim(speaker_label) || ': ', '') || trim(text), chr(10) ORDER BY at_ms NULLS LAST, id) AS transcript FROM s GROUP BY 1),
 c AS (SELECT DISTINCT ON (file_id) file_id, array_to_string(list_sort(list_distinct(derived_tags)), '|') AS tags, array_to_string(list_sort(list_distinct(vocab_terms)), '|') AS terms, metadata_date, metadata_location FROM file_contexts)
 SELECT f.*, description, transcript, tags, terms, metadata_date, metadata_location FROM f LEFT JOIN b USING (file_id) LEFT JOIN l USING (file_id) LEFT JOIN c USING (file_id)""",
     "source_overlap": "WITH f AS (SELECT DISTINCT sha256, source_id FROM files WHERE sha256 IS NOT NULL AND source_id IS NOT NULL) SELECT a.source_id AS source_a, b.source_id AS source_b, count(*) AS n FROM f a JOIN f b ON a.sha256 = b.sha256 AND a.source_id < b.source_id GROUP BY 1, 2",
     "tag_sets": "WITH c AS (SELECT DISTINCT ON (file_id) file_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(derived_tags, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS key FROM file_contexts) SELECT key, count(*) AS n_files FROM c WHERE key <> '' GROUP BY 1 HAVING count(*) > 1",
     "place_chain": "SELECT 'n' || n_nationkey AS key, n_name AS name, n_name || ' > ' || r_name AS chain FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, r_name FROM region",
-    "person_words": "SELECT title, string_agg(notes, '; ' ORDER BY notes) AS notes FROM (SELECT DISTINCT coalesce(title, 'none') AS title, notes FROM (SELECT DISTINCT ON (id) * FROM people) WHERE length(trim(notes)) > 0) GROUP BY 1",
 }

@@ -8,6 +8,6 @@ def test_segments_without_a_start_stay_in_the_text(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, file_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "file_id long, derived_tags array<string>, vocab_terms array<string>, metadata_date string, metadata_location string").write.parquet(f"{tmp_path}/file_contexts.parquet")
     q = entry.queries()
-    assert {tuple(r) for r in q["all_transcript_windows"](spark, str(tmp_path)).collect()} == {(5, 0, "[00:00:01.5] one two last"), (6, 0, "(00:02) a 0:00:03 - b")}
-    got = {r["file_id"]: r["transcript"] for r in q["all_file_records"](spark, str(tmp_path)).collect()}
+    assert {tuple(r) for r in q["transcript_windows"](spark, str(tmp_path)).collect()} == {(5, 0, "[00:00:01.5] one two last"), (6, 0, "(00:02) a 0:00:03 - b")}
+    got = {r["file_id"]: r["transcript"] for r in q["file_records"](spark, str(tmp_path)).collect()}
     assert got == {5: "Ann: [00:00:01.5] one\ntwo\nlast", 6: "(00:02) a\n0:00:03 - b", 7: None}
