@@ -10,20 +10,26 @@ verified by their exact cosine.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaicry.operators.components import connected_components
+from mosaicry.operators.ranking import distributed_rank
 from mosaicry.operators.skew import salted_join
-from mosaicry.scratch import materialize
+from mosaicry.scratch import materialize, release
+from mosaicry.tables import small
 
 PLANES = 256
-#: Bands and MinHashes per band: 0.9999 of the pairs of cosine 0.85 meet, 0.998 of those of 0.8 (band_recall).
-BANDS, ROWS = 180, 8
+#: Share of the pairs of exactly the asked cosine that meet in some band; more similar ones meet more often.
+RECALL = 0.999
+#: Rows that a bucket holds by chance, at most.
+CHANCE = 8
 #: Bands whose buckets link their members to the smallest one before pairs are looked at.
 STAR_BANDS = 12
 #: Rows up to which a bucket's pairs are formed by one join on the bucket.
@@ -39,26 +45,43 @@ def jaccard_of_cosine(c: float) -> float:
     return float(same / (2 - same))
 
 
-def band_recall(jaccard: float, bands: int = BANDS, rows: int = ROWS) -> float:
+def band_recall(jaccard: float, bands: int, rows: int) -> float:
     """Share of pairs of that similarity that meet in some band."""
     return 1 - (1 - jaccard**rows) ** bands
 
 
-def vectors_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as float32, and which of them are usable: of the commonest length, finite, not all zero."""
-    n = len(col)
-    sizes = np.array([len(x) if x is not None else 0 for x in col.to_pylist()]) if col.null_count else np.diff(col.offsets.to_numpy())
-    dim = int(np.bincount(sizes).argmax()) if n and sizes.max() > 0 else 0
-    if dim == 0 and n and sizes.max() > 0:
-        dim = int(np.bincount(sizes[sizes > 0]).argmax())
-    x = np.zeros((n, dim), dtype=np.float32)
-    if dim:
-        flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-        start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        fit = np.flatnonzero(sizes == dim)
-        x[fit] = flat[start[fit][:, None] + np.arange(dim)] if len(fit) else x[fit]
-    ok = (sizes == dim) & np.isfinite(x).all(axis=1) & (x != 0).any(axis=1) if dim else np.zeros(n, bool)
-    return x, ok
+def bands_for(n: int, jaccard: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bands, MinHashes per band) for ``n`` rows: buckets of unrelated rows stay small and the recall stays the same at any size.
+
+    Unrelated token sets agree in a MinHash with 1/3, so r of them leave n / 3^r rows to meet by chance.
+    """
+    rows = max(3, math.ceil(math.log(max(n, 1) / CHANCE, 3))) if n > CHANCE else 3
+    return math.ceil(math.log(1 - recall) / math.log(1 - jaccard**rows)), rows
+
+
+def by_length(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, float32 rows) of a list column for each length that occurs; null, all-zero and non-finite rows are left out."""
+    if not len(col):
+        return
+    sizes = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    flat, start = col.values.to_numpy(zero_copy_only=False).astype(np.float32), col.offsets.to_numpy()[:-1]
+    for dim in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == dim)
+        x = flat[start[at][:, None] + np.arange(dim)]
+        ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+        if ok.any():
+            yield at[ok], x[ok]
+
+
+def matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a list column whose lists all have one length."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1) if len(col) else np.zeros((0, 0), np.float32)
+
+
+def lists_of(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """A matrix as a list column."""
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).ravel()), x.shape[1]).cast(pa.list_(kind))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -93,23 +116,24 @@ def _band_keys(sides: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def vector_tokens(rows: DataFrame, id_col: str, vector: str, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """(id, vec, code, bands): unit vector, its sides as packed longs, its band keys; unusable vectors are left out."""
+def vector_tokens(rows: DataFrame, id_col: str, vector: str, bands: int = 1, per_band: int = 1) -> DataFrame:
+    """(id, vec, code, bands): unit vector, its sides as packed longs, its band keys; unusable vectors are left out.
+
+    Vectors of each length have planes of their own, and keys that tell the length.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            x, ok = vectors_of(b.column(1))
-            x = unit(x[ok])
-            dim = x.shape[1]
-            if dim not in planes:
-                planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, PLANES)).astype(np.float32)
-            sides = (x @ planes[dim] > 0).astype(np.uint8)
-            code = np.packbits(sides, axis=1).view(">i8").astype(np.int64)
-            keys = _band_keys(sides, bands, per_band)
-            ids = b.column(0).filter(pa.array(ok))
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(a).ravel()), a.shape[1]).cast(pa.list_(t)) if a.shape[1] else pa.array([[]] * len(x), pa.list_(t)) for a, t in ((x, pa.float32()), (code, pa.int64()), (keys, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([ids, *lists], names=["id", "vec", "code", "bands"])
+            for at, x in by_length(b.column(1)):
+                x = unit(x)
+                dim = x.shape[1]
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, PLANES)).astype(np.float32)
+                sides = (x @ planes[dim] > 0).astype(np.uint8)
+                code = np.packbits(sides, axis=1).view(">i8").astype(np.int64)
+                keys = _band_keys(sides, bands, per_band) ^ np.int64(dim)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), lists_of(x, pa.float32()), lists_of(code, pa.int64()), lists_of(keys, pa.int64())], names=["id", "vec", "code", "bands"])
 
     src = rows.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
     return src.mapInArrow(sign, "id long, vec array<float>, code array<bigint>, bands array<bigint>")
@@ -117,58 +141,70 @@ def vector_tokens(rows: DataFrame, id_col: str, vector: str, bands: int = BANDS,
 
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64) for i in (2, 3))
-        cos = np.einsum("ij,ij->i", x, y) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-300)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cos)], names=["a", "b", "cosine"])
+        sizes = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes).tolist():
+            p = b.filter(pa.array(sizes == dim))
+            x, y = (matrix(p.column(i)).astype(np.float64) for i in (2, 3))
+            cos = np.einsum("ij,ij->i", x, y) / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1), 1e-300)
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(cos)], names=["a", "b", "cosine"])
 
 
-def similar_vector_links(rows: DataFrame, id_col: str, vector: str, min_cosine: float = 0.8, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+def similar_vector_links(rows: DataFrame, id_col: str, vector: str, min_cosine: float = 0.8, recall: float = RECALL) -> DataFrame:
     """(a, b) links whose components are the groups of vectors with cosine >= ``min_cosine``.
 
     Equal vectors meet first and stand as one star. Of the rest, each bucket of the first
     STAR_BANDS bands links its members to its smallest one; once these links have formed groups, only pairs of
     different groups that share a bucket of any band are still looked at, so a voice with a third of
-    all rows costs one pair per row and band, not one per pair of rows. A pair is a
+    all rows costs one pair per row and band, not one per pair of rows. Buckets carry 64 of the sides only;
+    the others and the vectors are fetched for the pairs that these leave. A pair is a
     candidate if the Jaccard similarity of the token sets is within four standard errors
     of what the cosine would give, and a link if the exact cosine is high enough.
+    Vectors of different lengths are never similar.
     """
+    bands, per_band = bands_for(rows.count(), jaccard_of_cosine(min_cosine), recall)
     t = materialize(vector_tokens(rows, id_col, vector, bands, per_band).withColumn("same", F.xxhash64("vec")), "tokens")
     copies = t.groupBy("same", "vec").agg(F.min("id").alias("a"), F.max("id").alias("z"))
     copies = copies.filter("a < z")
-    stars = t.join(copies, ["same", "vec"]).filter("id > a").select("a", F.col("id").alias("b"))
+    stars = materialize(t.join(copies, ["same", "vec"]).filter("id > a").select("a", F.col("id").alias("b")), "copies")
     t1 = materialize(t.groupBy("same", "vec").agg(F.min("id").alias("id"), F.first("code").alias("code"), F.first("bands").alias("bands")).drop("same"), "tokens")
+    release(t)
     same = 1 - np.arccos(min_cosine) / np.pi
-    most = int(PLANES - np.floor(PLANES * same - 4 * np.sqrt(PLANES * same * (1 - same))))
+    most = lambda planes: int(planes - np.floor(planes * same - 4 * np.sqrt(planes * same * (1 - same))))
+    near = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most(64)
     differ = sum((F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(PLANES // 64)), F.lit(0))
-    vec = t1.select("id", "vec")
+    codes, vec = t1.select("id", "code"), t1.select("id", "vec")
+    few_codes = small(codes, 64)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        p = pairs.distinct().join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
+        p = pairs.distinct().join(few_codes.select(F.col("id").alias("a"), F.col("code").alias("ca")), "a").join(few_codes.select(F.col("id").alias("b"), F.col("code").alias("cb")), "b")
+        p = materialize(p.filter(differ <= most(PLANES)).select("a", "b"), "candidates")
+        p = p.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
         return p.select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= min_cosine).select("a", "b")
 
-    member = materialize(t1.select("id", "code", F.posexplode("bands").alias("band", "key")), "members")
-    head = member.filter(F.col("band") < STAR_BANDS)
-    first = head.groupBy("key").agg(F.min(F.struct("id", "code")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.code").alias("ca"))
-    star = head.join(first, "key").filter("id > a").select("a", F.col("id").alias("b"), "ca", F.col("code").alias("cb")).filter(differ <= most).select("a", "b")
+    short = F.col("code")[0].alias("c")
+    head = t1.select("id", short, F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key"))
+    first = head.groupBy("key").agg(F.min(F.struct("id", "c")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.c").alias("ca"))
+    star = head.join(first, "key").filter("id > a").select("a", F.col("id").alias("b"), "ca", F.col("c").alias("cb")).filter(near).select("a", "b")
     links = materialize(verified(star).unionByName(stars), "links")
     group = connected_components(links).withColumnsRenamed({"node": "id", "component": "g"})
-    member = member.join(group, "id", "left").withColumn("g", F.coalesce("g", "id"))
-    mixed = member.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    rest = materialize(member.drop("band").join(mixed, "key"), "members")
+    grouped = materialize(t1.select("id", short, "bands").join(group, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
+    member = grouped.select("id", "c", "g", F.explode("bands").alias("key"))
+    # a bucket of few rows: one join; of many rows: by pairs of its groups, so that rows of one group never meet
+    crowded = materialize(member.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter(F.col("n") > SMALL_BUCKET).select("key", "lo", "hi"), "crowded")
+    few = member.join(small(crowded.select("key"), 16), "key", "left_anti")
+    x = few.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"))
+    y = few.select("key", F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"))
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    # few rows: one join on the bucket; many rows: by pairs of groups, so that rows of one group never meet
-    few = rest.filter(F.col("n") <= SMALL_BUCKET)
-    x = few.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("code").alias("ca"))
-    y = few.select("key", F.col("g").alias("gb"), F.col("id").alias("b"), F.col("code").alias("cb"))
-    close = x.join(y, "key").filter(F.col("ga") < F.col("gb")).filter(differ <= most).select(*ordered("a", "b"))
-    many = rest.filter(F.col("n") > SMALL_BUCKET)
-    sides = many.select("key", "g").distinct()
-    meet = sides.select("key", F.col("g").alias("ga")).join(sides.select("key", F.col("g").alias("gb")), "key").filter("ga < gb")
-    left = meet.join(many.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("code").alias("ca")), ["key", "ga"]).withColumn("k2", F.xxhash64("key", "gb"))
-    right = many.select(F.xxhash64("key", "g").alias("k2"), F.col("key").alias("kb"), F.col("g").alias("g2"), F.col("id").alias("b"), F.col("code").alias("cb"))
-    wide = salted_join(right, left, "k2", "b").filter(F.col("kb") == F.col("key")).filter(F.col("g2") == F.col("gb")).filter(differ <= most).select(*ordered("a", "b"))
-    more = close.unionByName(wide)
-    return links.unionByName(verified(more))
+    more = x.join(y, "key").filter(F.col("ga") < F.col("gb")).filter(near).select(*ordered("a", "b"))
+    if not crowded.isEmpty():
+        many = materialize(member.join(small(crowded.filter("lo < hi").select("key"), 16), "key", "left_semi"), "many")
+        sides = many.select("key", "g").distinct()
+        meet = salted_join(sides.withColumnRenamed("g", "ga"), sides.withColumnRenamed("g", "gb"), "key", "ga").filter("ga < gb")
+        left = meet.join(many.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca")), ["key", "ga"]).withColumn("k2", F.xxhash64("key", "gb"))
+        right = many.select(F.xxhash64("key", "g").alias("k2"), F.col("key").alias("kb"), F.col("g").alias("g2"), F.col("id").alias("b"), F.col("c").alias("cb"))
+        wide = salted_join(right, left, "k2", "b").filter(F.col("kb") == F.col("key")).filter(F.col("g2") == F.col("gb")).filter(near).select(*ordered("a", "b"))
+        more = more.unionByName(wide)
+    return links.unionByName(materialize(verified(more), "links"))
 
 
 def vector_groups(rows: DataFrame, id_col: str, vector: str, min_cosine: float = 0.8) -> DataFrame:
@@ -196,7 +232,7 @@ def similar_pairs_within(members: DataFrame, min_cosine: float = 0.8) -> DataFra
     def meet(block: pa.Table) -> pa.Table:
         ids, p = block.column("id").to_numpy(), block.column("p").to_numpy()
         lo, hi = block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
-        x = block.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+        x = matrix(block.column("vec")).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         i, j = np.flatnonzero(p == lo), np.flatnonzero(p == hi)
         r, c = np.nonzero(x[i] @ x[j].T >= min_cosine)
@@ -270,8 +306,7 @@ def describe_groups(rows: DataFrame, id_col: str, vector: str, groups: DataFrame
             of = first.join(parts, "id").select("group_id", "same", "vec", "medoid")
             parts = materialize(t.join(of, ["group_id", "same", "vec"]).select("id", "medoid"), "parts")
         near = centred(groups.join(parts, "id", "left").select("id", F.coalesce("medoid", "group_id").alias("group_id")))
-    w = Window.partitionBy("group_id").orderBy(F.desc("cosine"), "id")
-    best = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= typical)
-    best = best.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda p: p["id"]).alias("typical"))
+    best = distributed_rank(near, ["group_id"], [F.desc("cosine"), F.asc("id")]).filter(F.col("rank") < typical)
+    best = best.groupBy("group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda p: p["id"]).alias("typical"))
     size = near.groupBy("group_id").agg(F.count("*").alias("size"), (1 - F.avg("cosine")).alias("spread"))
     return size.join(best, "group_id")

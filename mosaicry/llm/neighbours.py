@@ -14,16 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaicry.llm.clusters import unit, vectors_of
+from mosaicry.llm.clusters import by_length, lists_of, matrix, unit
 from mosaicry.scratch import materialize
+from mosaicry.tables import small
 
 #: Vectors that the routing tree is fitted on, at most.
 SAMPLE = 20_000
 #: Vectors of a shard, about, and of a leaf of its tree.
-SHARD, LEAF = 8_192, 256
+SHARD, LEAF = 32_768, 256
+#: Queries of a shard that one task answers.
+BLOCK = 8_192
 SEED = 7
 
 
@@ -121,87 +125,59 @@ def _search(tree: Tree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, qid: np.n
     return who, best
 
 
-def fit_router(vectors: DataFrame, sample: int = SAMPLE, shard: int = SHARD, n: int | None = None) -> bytes:
-    """A pickled tree over at most ``sample`` vectors whose leaves are the shards of all ``n`` vectors."""
-    n = vectors.count() if n is None else n
+def fit_router(vectors: DataFrame, n: int, sample: int = SAMPLE, shard: int = SHARD) -> bytes:
+    """A pickled tree for each space, over at most ``sample`` vectors in all, whose leaves are the shards of all ``n`` vectors.
+
+    A space that the sample holds nothing of has one shard.
+    """
     rows = vectors if n <= sample else vectors.orderBy(F.xxhash64("id")).limit(sample)
-    t = rows.select("vec").toArrow().column(0).combine_chunks()
-    if not len(t):
-        return pickle.dumps(None)
-    x, _ = vectors_of(t)
-    tree = Tree(x, max(1, int(len(x) / max(1.0, n / shard))))
-    tree.leaves = [np.zeros(0, dtype=np.int64)] * len(tree.leaves)
-    return pickle.dumps(tree)
+    t = rows.select("space", "vec").toArrow().combine_chunks()
+    space = np.array(t.column("space").to_pylist(), dtype=object)
+    trees = {}
+    for name in sorted(set(space.tolist())):
+        x = matrix(t.column("vec").filter(pa.array(space == name)))
+        trees[name] = Tree(x, max(1, int(shard * len(space) / max(n, 1))))
+        trees[name].leaves = [np.zeros(0, dtype=np.int64)] * len(trees[name].leaves)
+    return pickle.dumps(trees)
 
 
-def unit_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, vec) of unit length; null, all-zero and non-finite vectors are left out."""
+def unit_vectors(rows: DataFrame, id_col: str, vector: str, space: str | None = None) -> DataFrame:
+    """(space, id, vec) of unit length; null, all-zero and non-finite vectors are left out, and rows of an unknown space.
+
+    Vectors are compared inside a space, which is the value of ``space`` and the length.
+    An id with several usable vectors keeps the smallest one.
+    """
 
     def norm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ok = vectors_of(b.column(1))
-            x = unit(x[ok])
-            vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32())) if x.shape[1] else pa.array([[]] * len(x), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), vec], names=["id", "vec"])
+            for at, x in by_length(b.column(2)):
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists_of(unit(x), pa.float32())], names=["space", "id", "vec"])
 
-    src = rows.filter(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
-    return src.mapInArrow(norm, "id long, vec array<float>")
+    name = F.col(space).cast("string") if space else F.lit("")
+    src = rows.select(name.alias("space"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vec")).filter("space IS NOT NULL AND id IS NOT NULL AND vec IS NOT NULL")
+    src = src.withColumn("space", F.concat_ws("/", "space", F.size("vec")))
+    return src.mapInArrow(norm, "space string, id long, vec array<float>").groupBy("id").agg(F.min(F.struct("space", "vec")).alias("v")).select("v.space", "id", "v.vec")
 
 
-def _lists(col: pa.Array) -> np.ndarray:
-    return vectors_of(col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col)[0]
+def _search_cells(base: DataFrame, queries: DataFrame, k: int, min_cosine: float, factor: float, block: int) -> DataFrame:
+    """(id, other, cosine): the best ``k`` of every query in each cell it goes to.
 
-
-def nearest(queries: DataFrame, base: DataFrame, k: int = 5, min_cosine: float = 0.7, factor: float = 5.0, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """(id, other, cosine) of the ``k`` base vectors most similar to each query, at least ``min_cosine``.
-
-    Both inputs are (id, vec) as unit_vectors gives them, of one length, with unique
-    ids. A query does not find its own id. Equal cosines: the smaller id first. A
-    query goes to every shard that the relaxed triangle inequality cannot rule out
-    within min_cosine, searches each one's tree, and its finds are merged, so no
-    task sees all vectors. A crowded shard (many equal vectors cannot be told apart
-    by distance) is cut into parts, each with a tree of its own, and its queries go
-    to all of them; exactness does not depend on how shards are cut.
+    base: space, shard, part, id, vec; queries: the same. A cell's queries are answered in blocks, each with
+    the vectors of that cell; so a cell that all queries go to is many tasks, and a cell's vectors travel once for every ``block`` queries.
     """
-    base, queries = materialize(base, "base"), materialize(queries, "queries")
-    n = base.count()
-    router = fit_router(base, sample, shard, n)
-    schema = "id long, vec array<float>, shard long"
-
-    def route(mine: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tree = pickle.loads(router)
-            for b in batches:
-                if tree is None or not b.num_rows:
-                    continue
-                x = _lists(b.column(1))
-                if mine:
-                    rows, leaf = np.arange(len(x)), tree.place(x)
-                else:
-                    floor = np.arccos(min_cosine)
-                    got = [(r, np.full(len(r), s)) for s, r in tree.visit(x, lambda r: np.full(len(r), floor) + 1e-6, factor)]
-                    rows, leaf = (np.concatenate(c) for c in zip(*got))
-                part = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(leaf, pa.int64())], names=["id", "vec", "shard"])
-
-        return run
-
-    placed = materialize(base.mapInArrow(route(True), schema), "placed")
-    parts = placed.groupBy("shard").agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("parts"))
-    cell = F.pmod(F.xxhash64("id"), F.col("parts"))
-    b = placed.join(F.broadcast(parts), "shard").select(F.lit(0).alias("q"), "id", "vec", "shard", cell.alias("part"))
-    q = queries.mapInArrow(route(False), schema).join(F.broadcast(parts), "shard").select("id", "vec", "shard", F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1).alias("p"))
-    q = q.select("id", "vec", "shard", F.explode("p").alias("part"))
-    # queries of one shard are answered in blocks, so that a shard all queries go to is not one task
-    blocks = max(1, -(-queries.count() // (4 * shard)))
-    b = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    cell = ["space", "shard", "part"]
+    load = materialize(queries.groupBy(*cell).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "load")
+    tasks = min(8192, 4 * (load.agg(F.sum("blocks")).first()[0] or 0)) or 1
+    keys = [*cell, "block"]
+    load = small(load, 64)
+    b = base.join(load, cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    q = queries.join(load, cell).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, q = _lists(left.column("vec")), _lists(right.column("vec"))
         out = {"id": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())}
-        if len(x) and len(q):
-            ids, qid = left.column("id").to_numpy(), right.column("id").to_numpy()
+        if left.num_rows and right.num_rows:
+            ids, qid, x, q = left.column("id").to_numpy(), right.column("id").to_numpy(), matrix(left.column("vec")), matrix(right.column("vec"))
             o = np.argsort(ids)
             ids, x = ids[o], x[o]
             who, best = _search(Tree(x, LEAF), x, ids, q, qid, k, min_cosine, factor)
@@ -211,7 +187,60 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5, min_cosine: float =
             out = {"id": pa.array(qid[r]), "other": pa.array(who[r, c]), "cosine": pa.array(exact)}
         return pa.table(out)
 
-    keys = ["shard", "part", "block"]
-    found = b.drop("q").groupBy(*keys).cogroup(q.groupBy(*keys)).applyInArrow(search, "id long, other long, cosine double").filter(F.col("cosine") >= min_cosine)
-    top = found.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("d"), "other"))), 1, k).alias("t"))
-    return top.select("id", F.explode("t").alias("t")).select("id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("cosine"))
+    pair = b.repartition(tasks, *keys).groupBy(*keys).cogroup(q.repartition(tasks, *keys).groupBy(*keys))
+    return pair.applyInArrow(search, "id long, other long, cosine double").filter(F.col("cosine") >= min_cosine)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int = 5, min_cosine: float = 0.7, factor: float = 5.0, sample: int = SAMPLE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(id, other, cosine) of the ``k`` base vectors of its space most similar to each query, at least ``min_cosine``.
+
+    Both inputs are (space, id, vec) as unit_vectors gives them, with unique ids. A
+    query does not find its own id. Equal cosines: the smaller id first. A query
+    first searches the shard it would lie in itself. What it finds there sets its radius, and only then it goes to
+    the other shards that the relaxed triangle inequality cannot rule out within
+    that radius; finds are merged, so no task sees all vectors. A crowded shard
+    (many equal vectors cannot be told apart by distance) is cut into parts, each with
+    a tree of its own, and its queries go to all of them; exactness does not depend
+    on how shards are cut.
+    """
+    base, queries = materialize(base, "base"), materialize(queries, "queries")
+    router = fit_router(base, base.count(), sample, shard)
+    floor = float(np.arccos(min_cosine))
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = pickle.loads(router)
+        for b in batches:
+            for name in set(b.column(0).to_pylist()):
+                part = b.filter(pc.equal(b.column(0), name))
+                leaf = trees[name].place(matrix(part.column(2))) if name in trees else np.zeros(part.num_rows, np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf, pa.int64())], names=["space", "id", "vec", "shard"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = pickle.loads(router)
+        for b in batches:
+            for name in set(b.column(0).to_pylist()) & trees.keys():
+                part = b.filter(pc.equal(b.column(0), name))
+                x, far = matrix(part.column(2)), part.column(3).to_numpy(zero_copy_only=False)
+                mine = trees[name].place(x)
+                got = [(r[mine[r] != s], s) for s, r in trees[name].visit(x, lambda r: far[r] + 1e-4, factor)]
+                rows = np.concatenate([r for r, _ in got] or [np.zeros(0, np.int64)])
+                leaf = np.concatenate([np.full(len(r), s) for r, s in got] or [np.zeros(0, np.int64)])
+                p = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), p.column(2), pa.array(leaf, pa.int64())], names=["space", "id", "vec", "shard"])
+
+    schema = "space string, id long, vec array<float>, shard long"
+    placed = materialize(base.mapInArrow(home, schema), "placed")
+    parts = materialize(placed.groupBy("space", "shard").agg(F.ceil(F.count("*") / (2 * shard)).cast("long").alias("parts")), "parts")
+    parts = small(parts, 64)
+    b = placed.join(parts, ["space", "shard"]).select("space", "shard", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vec")
+    cells = lambda q: q.join(parts, ["space", "shard"]).select("space", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", "vec")
+    near = materialize(_search_cells(b, cells(queries.mapInArrow(home, schema)), k, min_cosine, factor, block), "near")
+    # the radius of a query with k finds is that of the last of them
+    rank = F.struct((-F.col("cosine")).alias("d"), "other")
+    top = lambda t: t.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, k).alias("t"))  # noqa: E731 - at most k finds a cell
+    last = top(near).filter(F.size("t") == k).select("id", F.acos(F.least(-F.element_at("t", k)["d"], F.lit(1.0))).alias("last"))
+    asked = queries.join(last, "id", "left").select("space", "id", "vec", F.least(F.coalesce("last", F.lit(floor)), F.lit(floor)).alias("radius"))
+    away = materialize(asked.mapInArrow(others, schema), "routed")
+    if not away.isEmpty():
+        near = near.unionByName(_search_cells(b, cells(away), k, min_cosine, factor, block))
+    return top(near).select("id", F.explode("t").alias("t")).select("id", F.col("t.other").alias("other"), (-F.col("t.d")).alias("cosine"))

@@ -27,26 +27,18 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "file_voice_embeddings").select("file_id", "embedding", "model").dropDuplicates(["file_id"])
-    e = e.filter("file_id IS NOT NULL AND embedding IS NOT NULL AND model IS NOT NULL").withColumn("dim", F.size("embedding"))
-    out = None
-    for r in sorted(e.select("model", "dim").distinct().collect()):
-        v = materialize(unit_vectors(e.filter((F.col("model") == r["model"]) & (F.col("dim") == r["dim"])), "file_id", "embedding"), "units")
-        n = nearest(v, v, k=5, min_cosine=0.7).select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b"))
-        out = n if out is None else out.unionByName(n)
-    if out is None:
-        return e.select(F.col("file_id").alias("file_a"), F.col("file_id").alias("file_b")).limit(0)
-    return out.distinct()
+    v = materialize(unit_vectors(load(spark, d, "file_voice_embeddings"), "file_id", "embedding", "model"), "units")
+    n = nearest(v, v, k=5, min_cosine=0.7)
+    return n.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
 
 
 def p4_speakers(spark: SparkSession, d: str) -> DataFrame:
     """For the voice segments whose id is divisible by 50, the three registered voices most like them."""
-    seg = load(spark, d, "file_voice_segments").select("id", "embedding").filter("id % 50 = 0").dropDuplicates(["id"])
-    ppl = load(spark, d, "people").select("id", "voice_centroid").dropDuplicates(["id"])
+    seg = load(spark, d, "file_voice_segments").select("id", "embedding").filter("id % 50 = 0")
     # a segment and a person may share a number, so people are searched under negative ids
-    base = unit_vectors(ppl.select((-F.col("id")).alias("id"), "voice_centroid"), "id", "voice_centroid")
+    base = unit_vectors(load(spark, d, "people").select((-F.col("id")).alias("id"), "voice_centroid"), "id", "voice_centroid")
     n = nearest(unit_vectors(seg, "id", "embedding"), base, k=3, min_cosine=0.5)
-    return n.select(F.col("id").alias("segment_id"), (-F.col("other")).alias("person_id"), "cosine")
+    return n.select(F.col("id").alias("segment_id"), (-F.col("other")).alias("person_id"), F.round("cosine", 6).alias("cosine"))
 
 
 def p2_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -83,6 +75,13 @@ u AS (SELECT * FROM e WHERE NOT list_bool_or([isnan(x) for x in v]) AND list_sum
 p AS (SELECT a.file_id AS a, b.file_id AS b, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.model = b.model AND len(a.v) = len(b.v) AND a.file_id <> b.file_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM p WHERE c >= 0.7)
 SELECT DISTINCT least(a, b) AS file_a, greatest(a, b) AS file_b FROM t WHERE k <= 5
+""",
+    "p4_speakers": """
+WITH q AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS v FROM file_voice_segments WHERE id % 50 = 0 AND embedding IS NOT NULL),
+b AS (SELECT DISTINCT ON (id) id, voice_centroid::DOUBLE[] AS v FROM people WHERE voice_centroid IS NOT NULL),
+p AS (SELECT q.id AS segment_id, b.id AS person_id, list_cosine_similarity(q.v, b.v) AS c FROM q JOIN b ON len(q.v) = len(b.v)
+  WHERE list_sum([x * x for x in q.v]) > 0 AND list_sum([x * x for x in b.v]) > 0)
+SELECT segment_id, person_id, round(c, 6) AS cosine FROM p WHERE c >= 0.5 QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY c DESC, person_id) <= 3
 """,
     "p2_found": """
 WITH RECURSIVE c AS (SELECT DISTINCT ON (id) id, centroid::DOUBLE[] AS v FROM voice_speaker_clusters WHERE centroid IS NOT NULL),

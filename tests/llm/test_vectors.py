@@ -1,7 +1,7 @@
 import numpy as np
 
 from mosaicry.llm import clusters
-from mosaicry.llm.clusters import band_recall, describe_groups, jaccard_of_cosine, similar_vector_links, split_around_medoids, vector_groups
+from mosaicry.llm.clusters import band_recall, bands_for, describe_groups, jaccard_of_cosine, similar_vector_links, split_around_medoids, vector_groups
 from mosaicry.llm.neighbours import fit_router, nearest, unit_vectors
 
 
@@ -59,7 +59,23 @@ def test_medoids_split_a_chain(spark):
 
 
 def test_band_recall_is_as_documented():
-    assert band_recall(jaccard_of_cosine(0.85), 180, 8) > 0.9999 and band_recall(jaccard_of_cosine(0.8), 180, 8) > 0.998
+    for n in (5, 300, 30_000, 10**7, 10**9):
+        bands, rows = bands_for(n, jaccard_of_cosine(0.8))
+        assert band_recall(jaccard_of_cosine(0.8), bands, rows) >= 0.999 and n / 3**rows <= 8
+        assert band_recall(jaccard_of_cosine(0.85), bands, rows) > 0.9998
+
+
+def test_vectors_are_kept_whatever_batch_they_lie_in(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(2 + i % 3).tolist()) for i in range(30)] + [(100 + i, rows_) for i, rows_ in enumerate([[1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [1.0, 0.0], None, [], [0.0, 0.0], [float("nan"), 1.0]])]
+    df = spark.createDataFrame(rows, "id long, vec array<float>")
+    got = []
+    for parts in (1, 3, 11):
+        t = df.repartition(parts)
+        u = unit_vectors(t, "id", "vec")
+        got.append(({tuple(r) for r in vector_groups(t, "id", "vec", 0.9).collect()}, {r["id"] for r in u.collect()}, {(r["id"], r["other"]) for r in nearest(u, u, 2, 0.5, factor=1.0).collect()}))
+    assert got[0] == got[1] == got[2]
+    assert got[0][1] == {*range(30), 100, 101, 102} and (100, 101) in got[0][2] and (100, 102) not in got[0][2]
 
 
 def brute_top(rows, base, k, least):
@@ -88,7 +104,7 @@ def test_search_with_ties_and_nothing(spark):
     got = sorted((r["id"], r["other"]) for r in nearest(u, u, 2, 0.7, shard=4).collect())
     assert got == sorted((i, j) for i in range(20) for j in [x for x in range(20) if x != i][:2])
     assert nearest(u, u.limit(0), 2, 0.7).count() == 0 and nearest(u.limit(0), u, 2, 0.7).count() == 0
-    assert isinstance(fit_router(u.limit(0)), bytes)
+    assert isinstance(fit_router(u.limit(0), 0), bytes)
 
 
 def test_loose_groups_split_by_all_their_similar_pairs(spark):
