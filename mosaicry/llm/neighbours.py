@@ -25,7 +25,7 @@ from mosaicry.tables import small
 #: Vectors that the routing tree is fitted on, at most.
 SAMPLE = 20_000
 #: Vectors of a shard, about, and of a leaf of its tree.
-SHARD, LEAF = 32_768, 256
+SHARD, LEAF = 32_768, 1024
 #: Queries of a shard that one task answers.
 BLOCK = 8_192
 SEED = 7
