@@ -73,11 +73,13 @@ def test_precedence_is_closed_over_absent_values(spark):
 
 
 def test_parsing_of_names():
-    assert parse("Dr. Bob  Lanholm ") == ("full", "bob", "lanholm") and parse("Lanholm, Bob") == ("full", "bob", "lanholm")
-    assert parse("LANHOLM, R.") == ("initial", "r", "lanholm") and parse("Zoë_Lánholm") == ("full", "zoe", "lanholm")
-    assert parse("Ann De Vries") == ("full", "ann", "de vries") and parse("Ann Mary K. Vries") == ("full", "ann", "vries")
-    assert parse("face 1") is parse("") is parse(None) is parse("?") is parse("A. B.") is None
-    assert (1, "e|lanholm|robert", "robert", "lanholm") in rewritings("full", "bob", "lanholm")
+    assert parse("Dr. Bob  Lanholm ") == ("full", "bob", "", "lanholm") and parse("Lanholm, Bob") == ("full", "bob", "", "lanholm")
+    assert parse("LANHOLM, R.") == ("initial", "r", "", "lanholm") and parse("Zoë_Lánholm") == ("full", "zoe", "", "lanholm")
+    assert parse("Ann De Vries") == ("full", "ann", "", "de vries") and parse("Ann Mary K. Vries") == ("full", "ann", "mary k", "vries")
+    assert parse("face 1") is parse("") is parse(None) is parse("?") is parse("A. B.") is parse("Bob") is parse("unknown person") is None
+    assert parse("Acme Limited") == parse("ACME, Ltd.") == ("org", "acme", "", "ltd") and parse("Cher") == ("single", "cher", "", "")
+    assert (1, "e|lanholm|robert", "") in rewritings(*parse("Bob Lanholm"))
+    assert parse("Jo Li", {"jo": ["jolanta"]}) == ("full", "jo", "", "li") and (1, "e|jolanta|li", "") in rewritings("full", "jo", "", "li", {"jo": ["jolanta"]})
 
 
 def test_variants_link_to_one_person(spark):
@@ -91,6 +93,20 @@ def test_variants_link_to_one_person(spark):
     assert a.count() == 0 and b.count() == 0
 
 
+def test_middle_names_and_organisations(spark):
+    people = [
+        (1, "Mary Ann Smith"), (2, "Mary Beth Smith"), (3, "Mary Smith"), (4, "Mary A. Smith"), (5, "Smith Mary Ann"), (6, "Mray Smith"),
+        (20, "Northern Steel Works Ltd"), (21, "Northern Copper Works Ltd"), (22, "Steel Works Northern Limited"), (23, "Northern Steel Wroks Ltd"),
+        (30, "Acme Ltd"), (31, "Acme Limited"), (32, "Acme Inc"), (33, "ACME"), (40, "Cher"), (41, "cher"), (42, "Bob"), (43, "unknown"), (44, "Unknown"),
+        (50, "Tom Brook Vale"), (51, "Thomas Vale"), (52, "T. Vale"), (60, "Ted Moor"), (61, "Ted Moor"), (70, "Zephyr Ltd"), (71, "zephyr"),
+    ]
+    faces = [(1, "Mary Cate Smith"), (2, "Mary Beth Smith"), (3, "Mary Smith"), (4, "Northern Steel Works"), (5, "Thomas B. Vale"), (6, "acme ltd"), (7, "Zephyr")]
+    a, b = link_names(spark.createDataFrame(people, "id long, name string"), "id", "name", spark.createDataFrame(faces, "id long, name string"))
+    got = {r["id"]: r["person_id"] for r in a.collect()}
+    assert got == {1: 1, 4: 1, 5: 1, 2: 2, 3: 3, 6: 3, 20: 20, 22: 20, 23: 20, 21: 21, 30: 30, 31: 30, 32: 32, 40: 40, 41: 40, 50: 50, 51: 50, 52: 50, 60: 60, 61: 60, 70: 70, 71: 70}
+    assert {r["id"]: r["person_id"] for r in b.collect()} == {1: 3, 2: 2, 5: 50, 6: 30, 7: 70}
+
+
 def test_mixture_meets_targets(spark):
     rnd = random.Random(11)
     docs = [(i, "abc"[i % 3] if i % 10 else None, rnd.randrange(1, 40)) for i in range(3000)]
