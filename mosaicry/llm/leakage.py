@@ -1,17 +1,18 @@
 """Evaluation texts inside training texts.
 
-Items and documents are cut to windows of one size, so that a leaked passage is a
-window whose set of word shingles is wholly contained in the document's window of
-the same size. Within such a size class containment means equal sets, and the
+Items and documents are cut to windows of one size class, so that a leaked passage is
+a window whose set of word shingles is wholly contained in the document's window of
+the same size. Within such a class containment means equal sets, and the
 MinHash of equal sets is equal: a window's candidate key is the smallest hash of
-its shingles, which loses no passage. Candidates are verified on their words.
-The corpus is read once and never shuffled; items travel in blocks of a bounded size.
+its shingles, which loses no passage. Items shorter than a passage have classes of their own length.
+A bitmap of bounded size, filled with the keys of all items, tells in one pass over the corpus which windows of documents are
+worth a look; only these are joined with the items' windows, by their key and
+their words. The corpus itself is read once and never shuffled.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaicry.operators.skew import salted_join
+from mosaicry.scratch import materialize
+from mosaicry.tables import BROADCAST_LIMIT
+
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
-#: Characters of item text that one block sends to the executors.
-BLOCK_CHARS = 32 << 20
+#: Bits of the key bitmap for each window of an item, and at most: 16 MB, whatever the number of items.
+BITS_A_KEY, MOST_BITS = 32, 1 << 27
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,75 +67,95 @@ class _Hasher:
         return s ^ (s >> np.uint64(32))
 
     def window_keys(self, ws: list[str], size: int) -> np.ndarray:
-        """The MinHash of every window of ``size`` words."""
+        """The MinHash of every window of ``size`` words; windows shorter than a shingle are one shingle."""
+        k, self.k = self.k, min(self.k, size)
         s = self.shingles(ws)
         w = size - self.k + 1
-        return sliding_window_view(s, w).min(axis=1) if len(s) >= w else np.zeros(0, dtype=np.uint64)
+        self.k = k
+        keys = sliding_window_view(s, w).min(axis=1) if len(s) >= w else np.zeros(0, dtype=np.uint64)
+        return keys ^ np.uint64(size * 0x9E3779B1)
 
 
-def _searcher(items: list[tuple[int, str]], size_of, k: int):
-    """A function over Arrow batches (doc_id, text) giving (doc_id, item_id, first_word, n_words)."""
+def _windows(size_of, k: int):
+    """A function over Arrow batches (item_id, text) giving every window of an item (item_id, size, key, words)."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(k)
-        by_size: dict[int, dict[int, dict[tuple, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-        for item_id, text in items:
-            ws = words_of(text)
-            size = size_of(len(ws))
-            if size:
-                for i, key in enumerate(hasher.window_keys(ws, size).tolist()):
-                    by_size[size][key][tuple(ws[i : i + size])].add(item_id)
-        keys = {s: np.sort(np.fromiter(t, dtype=np.uint64, count=len(t))) for s, t in by_size.items()}
         for b in batches:
-            doc, item, first = [], [], []
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words_of(text)
+                if size := size_of(len(ws)):
+                    rows += {(i, size, key, " ".join(ws[j : j + size])) for j, key in enumerate(hasher.window_keys(ws, size).view(np.int64).tolist())}
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.string()))], names=["item_id", "size", "key", "words"])
+
+    return cut
+
+
+def key_bitmap(windows: DataFrame) -> np.ndarray:
+    """64-bit words in which the bit of every key is set; at most MOST_BITS bits reach the driver."""
+    bits = 64
+    want = min(MOST_BITS, BITS_A_KEY * windows.count())
+    while bits < want:
+        bits *= 2
+    at = F.col("key").bitwiseAND(bits - 1)
+    one = windows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & 63 AS int))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[one.column("w").to_numpy()] = one.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def _candidates(bitmap: np.ndarray, sizes: list[int], k: int):
+    """A function over Arrow batches (doc_id, text) giving the windows that may be an item's (doc_id, first_word, words)."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, mask = _Hasher(k), np.uint64(len(bitmap) * 64 - 1)
+        for b in batches:
+            doc, first, words = [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words_of(text)
-                for size, known in keys.items():
+                for size in sizes:
                     if len(ws) < size:
                         continue
-                    got = hasher.window_keys(ws, size)
-                    at = np.minimum(np.searchsorted(known, got), len(known) - 1)
-                    found: dict[int, int] = {}
-                    for i in np.flatnonzero(known[at] == got).tolist():
-                        for x in by_size[size][int(got[i])].get(tuple(ws[i : i + size]), ()):
-                            found.setdefault(x, i)
-                    doc += [doc_id] * len(found)
-                    item += found
-                    first += found.values()
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(first, pa.int64())], names=["doc_id", "item_id", "first_word"])
+                    at = hasher.window_keys(ws, size) & mask
+                    for i in np.flatnonzero((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).tolist():
+                        doc.append(doc_id)
+                        first.append(i)
+                        words.append(" ".join(ws[i : i + size]))
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(words, pa.string())], names=["doc_id", "first_word", "words"])
 
     return search
 
 
-def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 12, k: int = SHINGLE, whole_short: bool = False) -> DataFrame:
-    """(doc_id, item_id, first_word) where a document holds ``min_words`` consecutive words of an item.
+def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = 12, k: int = SHINGLE, whole_short: bool = True) -> DataFrame:
+    """(doc_id, item_id, first_word, containment) where a document holds ``min_words`` consecutive words of an item.
 
     Words are runs of letters and digits; case and what stands between them do not
-    matter. ``first_word`` is where the first such passage begins in the document.
-    Items of fewer words match nothing, or with ``whole_short`` as a whole if they
-    have at least ``k`` words, each length being a size class of its own. Null and
-    empty texts match nothing, repeated item ids count once, an item without text or
-    id is left out. Items are held-out material of bounded size: they are read in
-    blocks of BLOCK_CHARS characters, each of which is searched in one pass over all
-    documents.
+    matter. ``first_word`` is where the first such passage begins in the document, ``containment`` the
+    share of the item's distinct passages of that length which the document holds.
+    Items of fewer words match as a whole, each length being a size class of its own, or nothing
+    without ``whole_short``. Null and empty texts match nothing, repeated item ids count
+    once (their rows must be equal), an item without text or id is left out.
     """
     if min_words < k:
         raise ValueError("min_words must be at least the shingle length")
 
     def size_of(n: int) -> int:
-        return min_words if n >= min_words else n if whole_short and n >= k else 0
+        return min_words if n >= min_words else n if whole_short else 0
 
-    pairs = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item_id]).select(F.col(item_id).cast("long"), item_text)
+    pairs = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).dropDuplicates(["item_id"])
+    w = materialize(pairs.mapInArrow(_windows(size_of, k), "item_id long, size int, key long, words string"), "windows")
+    sizes = sorted(r["size"] for r in w.select("size").distinct().collect())  # at most min_words of them
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    out, block, chars = None, [], 0
-
-    def flush(out: DataFrame | None) -> DataFrame:
-        hit = d.mapInArrow(_searcher(list(block), size_of, k), "doc_id long, item_id long, first_word long")
-        return hit if out is None else out.unionByName(hit)
-
-    for i, t in pairs.toLocalIterator():
-        block.append((i, t))
-        chars += len(t)
-        if chars >= BLOCK_CHARS:
-            out, block, chars = flush(out), [], 0
-    return flush(out) if block or out is None else out
+    hit = d.mapInArrow(_candidates(key_bitmap(w), sizes, k), "doc_id long, first_word long, words string")
+    n = w.groupBy("item_id").agg(F.count("*").alias("n"))
+    w = materialize(w.join(n, "item_id").select("item_id", "n", "words"), "windows")
+    bytes_ = w.agg(F.sum(F.length("words") * 4 + 96)).first()[0] or 0
+    if bytes_ <= BROADCAST_LIMIT:
+        both = hit.join(F.broadcast(w), "words")
+    else:
+        both = salted_join(materialize(hit, "candidates"), w, "words", "doc_id")
+    # a passage that stands several times in a document counts once
+    once = both.groupBy("doc_id", "item_id", "words").agg(F.min("first_word").alias("first_word"), F.first("n").alias("n"))
+    return once.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), (F.count("*") / F.first("n")).alias("containment"))

@@ -25,21 +25,23 @@ from pyspark.sql import functions as F
 from mosaicry.operators.skew import salted_join
 from mosaicry.scratch import materialize
 
-# Letters that look alike, in the order Latin, Cyrillic, Greek; a dot where a script has none.
+# Letters that look alike, in the order Latin, Cyrillic, Greek, a dot where a script has none; after them
+# letters of Armenian and Cherokee and further Latin and Cyrillic ones. Compatibility forms (full-width, mathematical and the like) need no entry.
 LOOKALIKES = (
-    "AАΑ BВΒ CС. EЕΕ HНΗ IІΙ JЈ. KКΚ MМΜ N.Ν OОΟ PРΡ SЅ. TТΤ XХΧ YУΥ Z.Ζ "
-    "aаα cс. dԁ. eе. hһ. iіι jј. n.η oоο pрρ qԛ. sѕ. u.υ v.ν wԝ. xхχ yуγ"
+    "AАΑᎪ BВΒᏴ CС.Ꮯ D..Ꭰ EЕΕᎬ F.Ϝ GԌ.Ꮐ HНΗᎻ IІΙӀ JЈͿᎫ KКΚᏦ L..Ꮮ MМΜᎷ N.Ν OОΟՕ PРΡᏢ QԚ. R..Ꭱ SЅ.ՏᏚ TТΤᎢ U..Ս VѴ.Ꮩ WԜ.Ꮃ XХΧ YУΥҮ Z.ΖᏃ "
+    "aаαɑ bЬ. cс. dԁ. eе. g..ɡց hһ.հ iіιı jјϳ lӏ. n.ηո oоοօ pрρ qԛ.զ sѕ. u.υս vѵν wԝ. xхχ yуγү"
 ).split()
 # Punctuation of one look that compatibility forms keep apart.
 PUNCTUATION = {"‐": "-", "‑": "-", "−": "-", "ʼ": "'"}
 
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
 _CLASS = {ch: cls for cls in LOOKALIKES for ch in cls if ch != "."}
 _TO_FIRST = str.maketrans({ch: cls[0] for ch, cls in _CLASS.items()} | PUNCTUATION)
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯ\u0530-\u058f\u13a0-\u13ff\uab70-\uabbfἀ-῿]")
 _TOKEN = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
-#: Log-probability of leaving a script inside a token, and of a letter outside the document's main script.
-SWITCH, OUTSIDE = -12.0, -6.0
+#: Least log-probability of a letter after another. Log-probability of leaving a script inside a token, and of a
+#: letter outside the main script; each is less than FLOOR, so no bigram makes up for a letter of another script.
+FLOOR, SWITCH, OUTSIDE = -7.6, -12.0, -9.0
 
 
 class _Tidy(dict):
@@ -73,7 +75,9 @@ def consistent(text: str, score=None, memo: dict | None = None) -> str:
         return text
     shape = text.translate(_TO_FIRST)
     if not _FOREIGN.search(shape):
-        # every letter that belongs to no class is Latin, so Latin is the best path throughout
+        # Every letter that belongs to no class is Latin or of no script, so Latin is the best path throughout: a run of r
+        # letters of another script inside a token costs 9 r, and its r + 1 bigrams gain 7.6 each at most, less 24 for the two
+        # switches; a whole token of them has only r - 1 bigrams.
         return unicodedata.normalize("NFC", shape)
     own = Counter(s for c in shape if c.isalpha() and c not in _CLASS and (s := _script(c)) != "OTHER")
     main = max(SCRIPTS, key=lambda s: (own[s], -SCRIPTS.index(s)))
@@ -89,12 +93,24 @@ def consistent(text: str, score=None, memo: dict | None = None) -> str:
     return unicodedata.normalize("NFC", _TOKEN.sub(best, shape))
 
 
+@functools.cache
+def _members(cls: str) -> dict[str, str]:
+    """The first letter of each script in a class."""
+    out: dict[str, str] = {}
+    for x in cls:
+        if x != ".":
+            out.setdefault(_script(x), x)
+    return out
+
+
 def _viterbi(token: str, main: str, score) -> str:
     """The likeliest spelling of a token given as first members of its classes."""
+    own = Counter(s for c in token if c not in _CLASS and (s := _script(c)) != "OTHER")
+    main = max(own, key=lambda s: (own[s], s == main, -SCRIPTS.index(s))) if own else main
     paths = {("", "OTHER"): (0.0, "")}
     for c in token:
         cls = _CLASS.get(c)
-        choice = [(c, _script(c))] if cls is None else [(x, s) for x, s in zip(cls, SCRIPTS) if x != "."]
+        choice = [(c, _script(c))] if cls is None else [(x, s) for s, x in _members(cls).items()]
         step = {}
         for x, s in choice:
             at = 0.0 if cls is None or s == main else OUTSIDE
@@ -128,7 +144,7 @@ def bigram_model(texts: DataFrame, text: str) -> dict[tuple[str, str], float]:
     total: Counter = Counter()
     for r in rows:
         total[r["a"]] += r["n"]
-    return {(r["a"], r["b"]): math.log((r["n"] + 0.5) / (total[r["a"]] + 50.0)) for r in rows}
+    return {(r["a"], r["b"]): max(FLOOR, math.log((r["n"] + 0.5) / (total[r["a"]] + 50.0))) for r in rows}
 
 
 def consistent_texts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -138,11 +154,10 @@ def consistent_texts(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     the form comes out unchanged.
     """
     model = bigram_model(texts, text)
-    floor = math.log(0.5 / 50.0) - 3
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        score = lambda a, b: model.get((a, b), floor) if a else 0.0
+        score = lambda a, b: model.get((a, b), FLOOR) if a else 0.0
         for b in batches:
             if len(memo) > 200_000:
                 memo.clear()

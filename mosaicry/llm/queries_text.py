@@ -31,16 +31,19 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pair_counts(ctx, "file_id", "items")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text", min_words=12, whole_short=False)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    hit = leaked_items(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "text", min_words=12)
-    return hit.select("doc_id", "item_id")
+    return _leaks(spark, d).select("doc_id", "item_id")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    """How many documents hold a passage of each item, zero included."""
+    """How many documents hold a passage of each item, zero included, and the largest share of it that one document holds."""
     items = load(spark, d, "eval_items").select("item_id", "task").dropDuplicates(["item_id"])
-    n = p8_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"))
-    return items.join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    n = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("containment").alias("containment"))
+    return items.join(n, "item_id", "left").select("item_id", "task", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +83,7 @@ WITH iw AS (SELECT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 ig AS (SELECT item_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) > 11)),
 dg AS (SELECT doc_id, array_to_string(w[i:i+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) > 11)),
-hit AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+hit AS (SELECT doc_id, item_id, count(DISTINCT g) AS k FROM dg JOIN ig USING (g) GROUP BY 1, 2)
 """
 
 # full-width forms are ASCII moved by a fixed distance; look-alikes become their Latin member
@@ -102,5 +105,5 @@ ORACLE = {
   (n_ab + 0.5) * (n - n_a - n_b + n_ab + 0.5) / ((n_a - n_ab + 0.5) * (n_b - n_ab + 0.5)) AS odds_ratio FROM r""",
     "p6_pairs": _P6_ALL,
     "p8_found": _P8 + "SELECT doc_id, item_id FROM hit",
-    "p8_report": _P8 + ", n AS (SELECT item_id, count(*) AS n_docs FROM hit GROUP BY item_id) SELECT item_id, task, coalesce(n_docs, 0) AS n_docs FROM (SELECT DISTINCT ON (item_id) item_id, task FROM eval_items) LEFT JOIN n USING (item_id)",
+    "p8_report": _P8 + ", m AS (SELECT item_id, count(DISTINCT g) AS m FROM ig GROUP BY 1), n AS (SELECT item_id, count(*) AS n_docs, max(k / m) AS c FROM hit JOIN m USING (item_id) GROUP BY item_id) SELECT item_id, task, coalesce(n_docs, 0) AS n_docs, coalesce(c, 0) AS containment FROM (SELECT DISTINCT ON (item_id) item_id, task FROM eval_items) LEFT JOIN n USING (item_id)",
 }

@@ -25,6 +25,11 @@ HESITATIONS = ("um", "uhm", "uh", "er", "erm", "hm", "ah")
 STEMS = ("speaker", "spk", "s")
 # Brackets that enclose annotations, timestamps or labels.
 BRACKETS = {"[": "]", "(": ")", "<": ">", "*": "*", "{": "}"}
+# Words that only speech holds, and words that notes about a sound seldom hold.
+PERSONS = frozenset("i me my mine we us our you your he him his she her it its they them their".split())
+SPOKEN = frozenset("the a an and or but not no is am are was were be been do does did have has had this that these those who what when where why how so if than to of".split())
+# Beginnings of words that name sounds and manners of speaking.
+SOUNDS = tuple("applau bark beep bell breath buzz chatter cheer chim chuckl clap clear click cough cross cry crying ding door footstep gasp giggl groan hum inaud indistinct laugh music noise pause phone ring sigh silen sing sneez sniff sob static thunder unclear unintell whisper whistl wind yawn".split())
 # Marks that stand alone.
 MARKS = ("♪", "♫", ">>")
 
@@ -46,6 +51,26 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def is_note(bracket: str, inner: str) -> bool:
+    """Whether what stands in brackets is a note about a sound, and not speech.
+
+    Square, angle and curly brackets enclose notes. Round brackets may hold an aside: with a
+    pronoun it is speech, else with a word that names a sound a note, else with an article or the like, or more than four words,
+    speech, otherwise a note. Asterisks may stress a word: it is a note if it names a sound or
+    has the form of an action (coughs, laughing), else speech.
+    """
+    if bracket not in "(*":
+        return True
+    words = _WORD.findall(inner)
+    if PERSONS.intersection(words):
+        return False
+    if any(w.startswith(SOUNDS) for w in words):
+        return True
+    if SPOKEN.intersection(words):
+        return False
+    return len(words) <= 4 if bracket == "(" else all(w.endswith(("s", "ing")) for w in words)
+
+
 class Cleaner:
     """Finds what is not speech in a text."""
 
@@ -97,6 +122,9 @@ class Cleaner:
                         stamp = ((int(h or 0) * 60 + int(mi)) * 60 + int(s)) * 1000 + int((frac or "0").ljust(3, "0"))
                 elif (m := _LABEL.match(inner)) and label is None and not speech(0, start):
                     label = int(m[1])
+                elif not _LABEL.match(inner) and not is_note(low[start], inner):
+                    done = start + 1  # speech: what stands inside is looked at like any other text
+                    continue
                 done = close + 1
                 if done < len(low) and low[done] == ":" and _LABEL.match(inner):
                     done += 1
@@ -212,7 +240,8 @@ def speaker_turns(segments: DataFrame, voices: DataFrame, people: DataFrame, sli
     speaker = F.coalesce(F.concat(F.lit("p"), person), F.concat(F.lit("n"), F.col("number")), F.concat(F.lit("l"), F.col("name")))
     last = F.lit((1 << 62))
     s = s.select("id", "file_id", F.coalesce("at_ms", last).alias("t"), "words", person.alias("person_id"), speaker.alias("speaker"))
-    s = s.withColumn("part", F.floor(F.col("t") / slice_ms))
+    # segments without any time come last by id, in slices of ids
+    s = s.withColumn("part", F.floor(F.col("t") / slice_ms) + F.when(F.col("t") == last, F.floor(F.col("id") / slice_ms)).otherwise(0))
 
     # runs inside a slice, then stitched over the slices of a file
     inside = Window.partitionBy("file_id", "part").orderBy("t", "id")
@@ -232,12 +261,19 @@ def speaker_turns(segments: DataFrame, voices: DataFrame, people: DataFrame, sli
     return s.select("id", "file_id", F.coalesce("turn", "carried").alias("turn_id"), F.when(F.col("t") < last, F.col("t")).alias("at_ms"), "person_id", "speaker", "words")
 
 
-def turn_texts(turns: DataFrame) -> DataFrame:
-    """(turn_id, file_id, person_id, n_segments, n_words, text): one row per turn, its words in order."""
-    piece = F.struct(F.coalesce("at_ms", F.lit(1 << 62)).alias("t"), "id", "words")
-    return turns.groupBy("turn_id", "file_id").agg(
+def turn_texts(turns: DataFrame, slice_ms: int = 600_000) -> DataFrame:
+    """(turn_id, file_id, part, person_id, n_segments, n_words, text): the words of each turn in order.
+
+    A turn is one row for each ten minutes it goes on (``part`` counts them from the start of the file; it is -1
+    for segments without a time, whose rows are cut by id), so no row grows with the length of a turn.
+    """
+    part = F.coalesce(F.floor(F.col("at_ms") / slice_ms), F.lit(-1))
+    cut = F.when(F.col("at_ms").isNull(), F.floor(F.col("id") / slice_ms)).otherwise(0)
+    piece = F.struct(F.coalesce("at_ms", F.lit(0)).alias("t"), "id", "words")
+    g = turns.withColumns({"part": part, "_cut": cut}).groupBy("turn_id", "file_id", "part", "_cut").agg(
         F.min("person_id").alias("person_id"),
         F.count("*").alias("n_segments"),
-        F.sum(F.size(F.split("words", " "))).alias("n_words"),
+        F.sum(F.size(F.split("words", " ")).cast("long")).alias("n_words"),
         F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["words"]), " ").alias("text"),
     )
+    return g.drop("_cut")

@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from mosaicry.llm import leakage, lookalike
 from mosaicry.llm.cooccurrence import clean_items, pair_counts
 from mosaicry.llm.leakage import leaked_items, words_of
 from mosaicry.llm.lookalike import bigram_model, compatible, consistent, consistent_texts, same_look_pairs
@@ -37,7 +40,7 @@ def test_a_basket_of_very_many_items(spark):
     assert got.filter("n_ab = 2").collect()[0]["item_a"] == "1"
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(6)
     word = lambda: rnd.choice("ab cd ef gh ij kl mn op qr st Ärger x1 99".split())
     items = [(i, " ".join(word() for _ in range(rnd.randrange(3, 40))), "t") for i in range(30)] + [(90, None, None), (91, "", None), (None, "a b", None)]
@@ -59,11 +62,33 @@ def test_leaks_equal_brute_force(spark):
     dd, ii = spark.createDataFrame(docs, "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string, task string")
     for n in (5, 12):
         want = {(d, i) for d, t, _ in docs for i, x, _ in items if i is not None and x and t and holds(t, x, n)}
-        got = leaked_items(dd, "doc_id", "text", ii, "item_id", "text", n).select("doc_id", "item_id").collect()
+        got = leaked_items(dd, "doc_id", "text", ii, "item_id", "text", n, whole_short=False).select("doc_id", "item_id").collect()
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and want
     assert leaked_items(dd, "doc_id", "text", ii.limit(0), "item_id", "text").count() == 0
-    whole = leaked_items(dd, "doc_id", "text", ii, "item_id", "text", 12, whole_short=True).select("doc_id", "item_id").collect()
-    assert {tuple(r) for r in whole} == {(d, i) for d, t, _ in docs for i, x, _ in items if i is not None and x and t and len(words_of(x)) >= 5 and holds(t, x, min(12, len(words_of(x))))}
+    want = {(d, i) for d, t, _ in docs for i, x, _ in items if i is not None and x and t and holds(t, x, min(12, len(words_of(x))))}
+    whole = leaked_items(dd, "doc_id", "text", ii, "item_id", "text", 12)
+    assert {(r["doc_id"], r["item_id"]) for r in whole.collect()} == want and any(len(words_of(x)) < 5 for _, x, _ in items if x)
+    # a bitmap with all bits set and windows too large to broadcast change nothing
+    monkeypatch.setattr(leakage, "MOST_BITS", 64)
+    monkeypatch.setattr(leakage, "BROADCAST_LIMIT", 0)
+    assert sorted(map(tuple, leaked_items(dd, "doc_id", "text", ii, "item_id", "text", 12).collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_share_of_an_item_that_a_document_holds(spark):
+    item = [f"w{i}" for i in range(15)]  # four passages of twelve words
+    docs = [(1, " ".join(item)), (2, " ".join(item[:13]) + " and " + " ".join(item[:13])), (3, " ".join(item[:11]))]
+    got = leaked_items(spark.createDataFrame(docs, "d long, t string"), "d", "t", spark.createDataFrame([(7, " ".join(item))], "i long, t string"), "i", "t")
+    assert {r["doc_id"]: (r["first_word"], r["containment"]) for r in got.collect()} == {1: (0, 1.0), 2: (0, 0.5)}
+
+
+def test_bitmaps_stay_small_for_many_items(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_BITS", 1 << 16)
+    for n in (1, 400, 40_000):
+        keys = spark.range(n).select(F.xxhash64("id").alias("key"))
+        bitmap = leakage.key_bitmap(keys)
+        assert len(bitmap) * 64 <= 1 << 16
+        at = [r["key"] & (len(bitmap) * 64 - 1) for r in keys.limit(500).collect()]
+        assert all(int(bitmap[i >> 6]) >> (i & 63) & 1 for i in at)
 
 
 def test_consistent_form_is_blind_to_spelling():
@@ -158,6 +183,37 @@ def test_every_pair_of_items_is_counted(spark, tmp_path):
     assert got == {("boat", "sea"): (3, 3, 4, 4, 1.0), ("rare", "sea"): (1, 1, 4, 4, 1.0), ("quay", "sea"): (1, 1, 4, 4, 1.0), ("boat", "quay"): (1, 3, 1, 4, round(4 / 3, 9))}
 
 
+def test_every_look_alike_is_met():
+    for cls in lookalike.LOOKALIKES:
+        for x in cls[1:].replace(".", ""):
+            assert consistent(f"q{x}zz w{x}") == consistent(f"q{cls[0]}zz w{cls[0]}"), (cls, x)
+    assert consistent("Ьank ɑpple ıtem") == "bank apple item"
+    # words keep the script of their own unmistakable letters, whatever the rest of the text is written in
+    assert consistent("На снимке видна баржа near the bar") == "На снимке видна баржа near the bar"
+
+
+def test_skipping_the_search_changes_nothing():
+    rnd = random.Random(12)
+    letters = "".join(c for cls in lookalike.LOOKALIKES for c in cls if c != ".") + "fkrtéß"
+    score = {}
+
+    def random_score(a, b):
+        return score.setdefault((a, b), rnd.uniform(lookalike.FLOOR, 0)) if a else 0.0
+
+    for _ in range(400):
+        token = "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 12))).translate(lookalike._TO_FIRST)
+        assert lookalike._viterbi(token, "LATIN", random_score) == token
+
+
+def test_what_remains_is_speech():
+    clean = Cleaner()
+    for text, words in [
+        ("we met (my brother and I) at the pier", "we met my brother and I at the pier"), ("that was *really* good", "that was really good"), ("so *coughs* yes (speaking softly) no", "so yes no"),
+        ("(um, it rained for hours on end) yes", "it rained for hours on end yes"), ("(the door closes) and [as they say] so", "and so"), ("a (wind) b *laughing* c", "a b c"), ("open (bracket", "open bracket"), ("x (clearly I was wrong) y", "x clearly I was wrong y"),
+    ]:
+        assert clean(text)[0] == words
+
+
 def test_plain_texts_count_for_the_letter_pairs(spark):
     model = bigram_model(spark.createDataFrame([("harbour",), ("\u043c\u043e\u0440\u0435",), (None,)], "t string"), "t")
     assert {("h", "a"), ("o", "u"), ("\u043c", "\u043e")} <= set(model)
