@@ -36,7 +36,13 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], amount:
     sizes = t.groupBy("_p", *group).agg(F.sum("_a").alias("_c"))
     over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(over.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("_c").over(over)).drop("_c")
-    out = t.withColumn("_r", F.sum("_a").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sizes, ["_p", *group])
+    # a null is a group like any other
+    sizes = sizes.select("_before", "total", F.col("_p").alias("_q"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)])
+    same = F.col("_p") == F.col("_q")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = t.withColumn("_r", F.sum("_a").over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sizes, same)
+    out = out.drop("_q", *[f"_g{i}" for i in range(len(group))])
     return out.withColumn("before", F.col("_before") + F.col("_r") - F.col("_a")).drop("_p", "_r", "_a", "_before")
 
 
