@@ -272,6 +272,12 @@ SELECT *, CASE WHEN semantic_type IN ('date', 'time', 'code') THEN 'capture' WHE
 SELECT a.token || ' ' || b.token AS bigram, count(*) AS frequency, count(DISTINCT a.id) AS n_files FROM o a JOIN o b ON a.id = b.id AND b.p = a.p + 1 GROUP BY 1 HAVING count(DISTINCT a.id) >= 2""",
     "canonical": f"SELECT id, m AS canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY sha256) AS m FROM ({_F}) WHERE sha256 IS NOT NULL) WHERE id <> m",
     "moved_candidates": f"WITH f AS (SELECT id, path, sha256 FROM ({_F}) WHERE sha256 IS NOT NULL) SELECT a.id, count(*) AS n_others, arg_min(b.path, (b.path, b.id)) AS other_path FROM f a JOIN f b ON a.sha256 = b.sha256 AND a.id <> b.id GROUP BY a.id",
+    "near_duplicates": """WITH RECURSIVE h AS (SELECT file_id, min(lower(phash)) AS p FROM file_hashes WHERE phash <> '0000000000000000' GROUP BY 1), s AS (SELECT file_id, max(score) AS score FROM file_aesthetic WHERE model_name = 'nima_mobilenet' AND score BETWEEN 0 AND 1 GROUP BY 1),
+r AS (SELECT file_id, score, ('0x' || trim(p))::UBIGINT AS b, row_number() OVER (ORDER BY score IS NULL, score DESC, file_id) AS k FROM h LEFT JOIN s USING (file_id) WHERE regexp_matches(trim(p), '^[0-9a-f]{16}$')),
+z AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS seeds UNION ALL SELECT r.k, CASE WHEN coalesce(list_bool_or(list_transform(seeds, lambda x: bit_count(xor(x, r.b)) <= 10)), false) THEN seeds ELSE list_append(seeds, r.b) END FROM z JOIN r ON r.k = z.k + 1),
+l AS (SELECT arg_max(seeds, k) AS seeds FROM z), d AS (SELECT unnest(seeds) AS b, unnest(range(len(seeds))) AS i FROM l), o AS (SELECT b, arg_min(file_id, k) AS seed_id FROM r GROUP BY 1),
+a AS (SELECT r.file_id, r.score, r.b, arg_min(d.b, i) AS sb FROM r JOIN d ON bit_count(xor(r.b, d.b)) <= 10 GROUP BY 1, 2, 3), g AS (SELECT file_id, score, seed_id, bit_count(xor(a.b, sb))::INT AS distance, count(*) OVER (PARTITION BY seed_id) AS n FROM a JOIN o ON o.b = sb)
+SELECT file_id, seed_id, distance, row_number() OVER (PARTITION BY seed_id ORDER BY score IS NULL, score DESC, file_id) AS place FROM g WHERE n > 1""",
     "score_pivot": f"SELECT file_id, max(score) FILTER (model_name = 'nima_mobilenet') AS nima_mobilenet, max(score) FILTER (model_name = 'clip_vit_b32') AS clip_vit_b32 FROM {_SCORES} GROUP BY file_id HAVING max(score) FILTER (model_name = 'nima_mobilenet') >= 0.5",
     "score_bands": """SELECT model_name, CASE model_name WHEN 'nima_mobilenet' THEN CASE WHEN score >= 0.75 THEN 'excellent' WHEN score >= 0.55 THEN 'good' WHEN score >= 0.3 THEN 'average' ELSE 'poor' END
   WHEN 'clip_vit_b32' THEN CASE WHEN score >= 0.8 THEN 'excellent' WHEN score >= 0.62 THEN 'good' WHEN score >= 0.3 THEN 'average' ELSE 'poor' END
