@@ -30,7 +30,7 @@ def _chosen_blocks(n: int, max_bits: int) -> int:
         keys, bits = comb(max_bits + k, k), 64 * k // (max_bits + k)
         return 2.0 * keys * n + keys * n * n / 2 / 2**bits / 8
 
-    return min((k for k in range(1, 17) if comb(max_bits + k, k) <= 1024 and 64 * k // (max_bits + k) <= 40), key=work)
+    return min((k for k in range(1, 17) if k == 1 or (comb(max_bits + k, k) <= 1024 and 64 * k // (max_bits + k) <= 40)), key=work)
 
 
 def hamming_pairs(hashes: DataFrame, id_col: str, hi: str, lo: str, max_bits: int = 5) -> DataFrame:
@@ -49,11 +49,10 @@ def hamming_pairs(hashes: DataFrame, id_col: str, hi: str, lo: str, max_bits: in
     h = hashes.select(F.col(id_col).alias("id"), F.shiftleft(F.col(hi), 32).bitwiseOR(F.col(lo)).alias("h"))
     keys = []
     for tag, chosen in enumerate(combinations(range(blocks), k)):
-        key = F.lit(tag).cast("long")
+        key, wide = F.lit(tag).cast("long"), sum(cut[i + 1] - cut[i] for i in chosen)
         for i in chosen:
             a, b = cut[i], cut[i + 1]
-            part = F.shiftrightunsigned("h", a).bitwiseAND((1 << (b - a)) - 1) if b - a < 64 else F.col("h")
-            key = F.shiftleft(key, b - a).bitwiseOR(part) if b - a < 64 else part
+            key = F.shiftleft(key, b - a).bitwiseOR(F.shiftrightunsigned("h", a).bitwiseAND((1 << (b - a)) - 1)) if wide <= 40 else F.col("h")
         keys.append(key)
     each = h.select(F.explode(F.array(*keys)).alias("k"), "id", "h")
     left, right = each.withColumnsRenamed({"id": "a", "h": "ha"}), each.withColumnsRenamed({"id": "b", "h": "hb"})
