@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaicry.scratch import materialize
@@ -20,6 +20,8 @@ from mosaicry.tables import small
 
 #: Pair codes that a task holds before it sorts and counts them.
 RUN = 1 << 21
+#: Items of a basket that one row holds; larger baskets are cut into blocks.
+BASKET = 4096
 
 
 def clean_items(*arrays: str) -> Column:
@@ -30,26 +32,28 @@ def clean_items(*arrays: str) -> Column:
 
 
 def _codes(items: DataFrame) -> DataFrame:
-    """``items`` with a dense ``code``, numbered by partition; only the partition sizes reach the driver."""
-    t = materialize(items.withColumn("_m", F.monotonically_increasing_id()), "items")
-    part = F.shiftright("_m", 33)
-    sizes = t.groupBy(part.alias("p")).agg((F.max(F.col("_m").bitwiseAND((1 << 33) - 1)) + 1).alias("n")).collect()
-    offset, pairs = 0, []
-    for r in sorted(sizes, key=lambda r: r["p"]):
-        pairs += [F.lit(r["p"]), F.lit(offset).cast("long")]
-        offset += r["n"]
-    if offset >= 1 << 31:
+    """``items`` with a dense ``code``, numbered by partition."""
+    t = materialize(items.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)), "items")
+    sizes = t.groupBy("_p").agg((F.max(F.col("_m").bitwiseAND((1 << 33) - 1)) + 1).alias("_n"))
+    # one row for each partition of the items
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = materialize(sizes.select("_p", "_n", before.alias("_before")), "sizes")
+    if (sizes.agg(F.sum("_n")).first()[0] or 0) >= 1 << 31:
         raise ValueError("more than 2^31 kept items")
-    if not pairs:
-        return t.withColumn("code", F.lit(0).cast("long")).drop("_m")
-    return t.withColumn("code", F.create_map(*pairs)[part] + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m")
+    j = t.join(small(sizes, 32), "_p")
+    return j.withColumn("code", F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_n", "_before")
 
 
 def _batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
 
+def _offsets(col: pa.Array) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.diff(col.offsets.to_numpy()))])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted and counted runs of the pairs inside ``codes``, or of the pairs of one of ``codes`` and one of ``others`` where these are not empty."""
     held, size = [], 0
 
     def run() -> pa.RecordBatch:
@@ -57,23 +61,25 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batch(code, n)
 
     for b in batches:
-        col = b.column(0)
-        flat, off = col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(col.offsets.to_numpy()))])
-        for s, e in zip(off[:-1], off[1:]):
+        mine, theirs = b.column(0), b.column(1)
+        flat, off = mine.flatten().to_numpy(zero_copy_only=False), _offsets(mine)
+        flat2, off2 = theirs.flatten().to_numpy(zero_copy_only=False), _offsets(theirs)
+        for s, e, s2, e2 in zip(off[:-1], off[1:], off2[:-1], off2[1:]):
             x = np.sort(flat[s:e]).astype(np.int64)
-            for i in range(len(x) - 1):
-                if i == 0 and len(x) <= 1024:
-                    a, c = np.triu_indices(len(x), 1)
-                    held.append((x[a] << 32) | x[c])
-                    size += len(a)
-                else:
-                    held.append((x[i] << 32) | x[i + 1 :])
-                    size += len(x) - i - 1
+            if e2 > s2:
+                y = flat2[s2:e2].astype(np.int64)
+                parts = ((np.minimum(v, y) << 32) | np.maximum(v, y) for v in x)
+            elif len(x) <= 1024:
+                a, c = np.triu_indices(len(x), 1)
+                parts = iter([(x[a] << 32) | x[c]])
+            else:
+                parts = ((x[i] << 32) | x[i + 1 :] for i in range(len(x) - 1))
+            for p in parts:
+                held.append(p)
+                size += len(p)
                 if size >= RUN:
                     yield run()
                     held, size = [], 0
-                if len(x) <= 1024:
-                    break
     if size:
         yield run()
 
@@ -116,8 +122,19 @@ def pair_counts(baskets: DataFrame, basket: str, items: str, min_together: int =
     if min_lift > 0:
         count = count.filter(F.col("f") * min_lift <= n)
     words = materialize(_codes(count), "codes")
-    coded = long.join(small(words.select("item", "code"), 64), "item").groupBy("_b").agg(F.collect_list("code").alias("codes"))
-    runs = coded.select("codes").mapInArrow(_runs, "code long, n long")
+    coded = long.join(small(words.select("item", "code"), 64), "item").select("_b", "code")
+    none = F.array().cast("array<bigint>")
+    big = materialize(base.filter(F.size("_items") > BASKET).select("_b", F.ceil(F.size("_items") / BASKET).cast("int").alias("_k")), "big")
+    if big.isEmpty():
+        lists = coded.groupBy("_b").agg(F.collect_list("code").alias("codes")).select("codes", none.alias("others"))
+    else:
+        # a large basket is cut into blocks of about BASKET items, and each two blocks meet in one row
+        small_ones = coded.join(big.select("_b"), "_b", "left_anti").groupBy("_b").agg(F.collect_list("code").alias("codes")).select("codes", none.alias("others"))
+        t = coded.join(big, "_b").withColumn("p", F.pmod(F.xxhash64("code"), F.col("_k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+        lo, hi = F.least("p", "o"), F.greatest("p", "o")
+        t = t.groupBy("_b", lo.alias("lo"), hi.alias("hi")).agg(F.collect_list(F.when(F.col("p") == lo, F.col("code"))).alias("codes"), F.collect_list(F.when(F.col("p") > lo, F.col("code"))).alias("others"))
+        lists = small_ones.unionByName(t.filter("lo = hi OR (size(codes) > 0 AND size(others) > 0)").select("codes", "others"))
+    runs = lists.mapInArrow(_runs, "code long, n long")
     merged = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merge, "code long, n long").filter(F.col("n") >= min_together)
     merged = merged.select(F.shiftright("code", 32).alias("ca"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("cb"), F.col("n").alias("n_ab"))
     side = lambda s: small(words.select(F.col("code").alias("c" + s), F.col("item").alias("i" + s), F.col("f").alias("f" + s)), 80)

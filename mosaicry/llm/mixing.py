@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaicry.scratch import materialize
+from mosaicry.tables import small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 BUCKETS = 4096
@@ -57,10 +58,10 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
     target_share, max_repeats, available, wanted, drawn, actual_share and
     at_cap (the cap keeps the source below its target). Ids must be unique.
     """
-    t = targets.filter(F.col(source).isNotNull()).dropDuplicates([source]).select(F.col(source).alias("source"), "target_share", "max_repeats")
+    t = materialize(targets.filter(F.col(source).isNotNull()).dropDuplicates([source]).select(F.col(source).alias("source"), "target_share", "max_repeats"), "targets")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(size).cast("long").alias("size"), w.alias("w"))
-    d = materialize(d.filter("doc_id IS NOT NULL AND source IS NOT NULL AND size > 0").join(F.broadcast(t.select("source")), "source"), "sizes")
+    d = materialize(d.filter("doc_id IS NOT NULL AND source IS NOT NULL AND size > 0").join(small(t.select("source"), 64), "source"), "sizes")
     have = d.groupBy("source").agg(F.sum("size").alias("available"), F.sum(F.col("size") * F.greatest("w", F.lit(0.0))).alias("weighted"))
     plan = t.join(have, "source", "left").na.fill(0, ["available"]).na.fill(0.0, ["weighted"])
     if total is None:
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
     plan = materialize(plan, "plan")  # one row per target
 
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    j = d.join(F.broadcast(plan.select("source", "whole", "rest", "weighted")), "source")
+    j = d.join(small(plan.select("source", "whole", "rest", "weighted"), 96), "source")
     p = F.when(F.col("weighted") > 0, F.greatest("w", F.lit(0.0)) * F.col("rest") / F.col("weighted")).otherwise(0.0)
     q = F.when(p >= 1, 0.0).when(p <= 0, F.lit(float("inf"))).otherwise(u / (1 - u) / (p / (1 - p)))
     j = j.withColumn("rank", q).withColumn("bucket", F.when(F.col("rank") == float("inf"), BUCKETS).otherwise(F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS)).cast("int"))
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", source: str
     hist = j.groupBy("source", "bucket").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("below"), "s")
-    j = j.join(F.broadcast(hist), ["source", "bucket"])
+    j = j.join(small(materialize(hist, "histogram"), 96), ["source", "bucket"])
     edge = (F.col("below") <= F.col("rest")) & (F.col("below") + F.col("s") > F.col("rest"))
     inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = j.filter(edge).withColumn("at", F.col("below") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

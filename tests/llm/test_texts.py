@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from mosaicry.llm import leakage, lookalike
+from mosaicry.llm import cooccurrence, leakage, lookalike
 from mosaicry.llm.cooccurrence import clean_items, pair_counts
 from mosaicry.llm.leakage import leaked_items, words_of
 from mosaicry.llm.lookalike import bigram_model, compatible, consistent, consistent_texts, same_look_pairs
@@ -40,6 +40,15 @@ def test_a_basket_of_very_many_items(spark):
     assert got.filter("n_ab = 2").collect()[0]["item_a"] == "1"
 
 
+def test_large_baskets_are_cut_into_blocks(spark, monkeypatch):
+    rnd = random.Random(15)
+    rows = [(i, [f"t{k}" for k in rnd.sample(range(40), rnd.randrange(0, 30))]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, items array<string>")
+    want = sorted(map(tuple, pair_counts(df, "id", "items").collect()))
+    monkeypatch.setattr(cooccurrence, "BASKET", 7)
+    assert sorted(map(tuple, pair_counts(df, "id", "items").collect())) == want and want
+
+
 def test_leaks_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(6)
     word = lambda: rnd.choice("ab cd ef gh ij kl mn op qr st Ärger x1 99".split())
