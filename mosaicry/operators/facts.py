@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +64,31 @@ def prefer(rows: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     return best.select("b.*")
 
 
+def _vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, s, k): the sum and number of the vectors of each group among a task's rows; vectors of one group must be of one length."""
+    sums: dict = {}
+
+    def out() -> pa.RecordBatch:
+        s = pa.array([x[0] for x in sums.values()], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), kind), s, pa.array([x[1] for x in sums.values()], pa.int64())], names=["g", "s", "k"])
+
+    for b in batches:
+        kind, g = b.schema.field(0).type, b.column(0).dictionary_encode()
+        col = b.column(1)
+        flat, at = col.values.to_numpy(zero_copy_only=False).astype(np.float64), col.offsets.to_numpy()
+        code = g.indices.to_numpy()
+        for i, key in enumerate(g.dictionary.to_pylist()):
+            rows = np.flatnonzero(code == i)
+            x = np.stack([flat[at[r] : at[r + 1]] for r in rows]).sum(axis=0)
+            old = sums.get(key)
+            sums[key] = (x, len(rows)) if old is None else (old[0] + x, old[1] + len(rows))
+        if len(sums) > 20_000:
+            yield out()
+            sums = {}
+    if sums:
+        yield out()
+
+
 def trimmed_centroids(rows: DataFrame, group: str, id_col: str, vector: str, trim: float = 0.10) -> DataFrame:
     """(group, centroid, n, spread): mean direction of each group without its floor(trim n) rows farthest from the mean.
 
@@ -69,20 +98,24 @@ def trimmed_centroids(rows: DataFrame, group: str, id_col: str, vector: str, tri
     All-zero and null vectors are left out.
     """
     from mosaicry.scratch import materialize
+    from mosaicry.tables import small
 
     v = rows.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector).alias("v")).filter("g IS NOT NULL AND v IS NOT NULL").dropDuplicates(["id"])
     v = materialize(v.filter(F.exists("v", lambda x: x != 0)), "vectors")
 
     def centre(t: DataFrame) -> DataFrame:
-        c = t.select("g", F.posexplode("v").alias("i", "x")).groupBy("g", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+        # sums over each task's rows first, so that only one vector for each group and task is taken apart
+        part = t.select("g", "v").mapInArrow(_vector_sums, f"g {t.schema['g'].dataType.simpleString()}, s array<double>, k bigint")
+        c = part.select("g", "k", F.posexplode("s").alias("i", "x")).groupBy("g", "i").agg((F.sum("x") / F.sum("k")).alias("x"))
         c = c.groupBy("g").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("c"))
         size = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))
         return c.select("g", F.when(size > 0, F.transform("c", lambda x: x / size)).otherwise(F.col("c")).alias("c"))
 
-    far = v.join(centre(v), "g").select("g", "id", "v", (1 - cosine(F.col("v"), F.col("c"))).alias("d"))
-    kept = distributed_rank(far, ["g"], [F.asc("d"), F.asc("id")]).filter(F.col("rank") < F.col("n") - F.floor(F.col("n") * trim)).select("g", "id", "v")
-    kept = materialize(kept, "kept")
-    c = materialize(centre(kept), "centres")
+    # ranked without the vectors, which stay where they are
+    far = v.join(small(materialize(centre(v), "centres"), 4096), "g").select("g", "id", (1 - cosine(F.col("v"), F.col("c"))).alias("d"))
+    kept = distributed_rank(far, ["g"], [F.asc("d"), F.asc("id")]).filter(F.col("rank") < F.col("n") - F.floor(F.col("n") * trim)).select("id")
+    kept = materialize(v.join(kept, "id", "left_semi"), "kept")
+    c = small(materialize(centre(kept), "centres"), 4096)
     spread = kept.join(c, "g").groupBy("g").agg(F.count("*").alias("n"), F.avg(1 - cosine(F.col("v"), F.col("c"))).alias("spread"))
     return c.join(spread, "g").select(F.col("g").alias(group), F.col("c").alias("centroid"), "n", "spread")
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _open: set[tuple[int, str]] = set()
 #: How much larger than its files a table may be in memory; Spark's own factor of 1 broadcasts tables that do not fit.
-EXPANSION = "16.0"
+EXPANSION = "8.0"
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
 
 
