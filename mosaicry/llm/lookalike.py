@@ -120,14 +120,21 @@ def _viterbi(token: str, main: str, score) -> str:
 
 
 def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter = Counter()
+    n, words = Counter(), Counter()
+
+    def add() -> None:
+        for w, k in words.items():
+            if _script(w[0]) in SCRIPTS and {_script(c) for c in w if c.isalpha()} == {_script(w[0])}:
+                for pair in zip(w, w[1:]):
+                    n[pair] += k
+        words.clear()
+
     for b in batches:
         for t in b.column(0).to_pylist():
-            t = compatible(t)
-            for m in _TOKEN.finditer(t):
-                w = m[0]
-                if _script(w[0]) in SCRIPTS and {_script(c) for c in w if c.isalpha()} == {_script(w[0])}:
-                    n.update(zip(w, w[1:]))
+            words.update(_TOKEN.findall(compatible(t)))
+        if len(words) > 200_000:
+            add()
+    add()
     rows = [(a, b, c) for (a, b), c in n.items()]
     yield pa.RecordBatch.from_pydict({"a": [r[0] for r in rows], "b": [r[1] for r in rows], "n": pa.array([r[2] for r in rows], pa.int64())}, schema=pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
 
