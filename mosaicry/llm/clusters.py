@@ -155,7 +155,7 @@ def similar_vector_links(rows: DataFrame, id_col: str, vector: str, min_cosine:
     Equal vectors meet first and stand as one star. Of the rest, each bucket of the first
     STAR_BANDS bands links its members to its smallest one; once these links have formed groups, only pairs of
     different groups that share a bucket of any band are still looked at, so a voice with a third of
-    all rows costs one pair per row and band, not one per pair of rows. Buckets carry 64 of the sides only;
+    all rows costs one pair per row and band, not one per pair of rows. Buckets carry 128 of the sides only;
     the others and the vectors are fetched for the pairs that these leave. A pair is a
     candidate if the Jaccard similarity of the token sets is within four standard errors
     of what the cosine would give, and a link if the exact cosine is high enough.
@@ -170,7 +170,7 @@ def similar_vector_links(rows: DataFrame, id_col: str, vector: str, min_cosine:
     release(t)
     same = 1 - np.arccos(min_cosine) / np.pi
     most = lambda planes: int(planes - np.floor(planes * same - 4 * np.sqrt(planes * same * (1 - same))))
-    near = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= most(64)
+    near = F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) + F.bit_count(F.col("da").bitwiseXOR(F.col("db"))) <= most(128)
     differ = sum((F.bit_count(F.col("ca")[i].bitwiseXOR(F.col("cb")[i])) for i in range(PLANES // 64)), F.lit(0))
     codes, vec = t1.select("id", "code"), t1.select("id", "vec")
     few_codes = small(codes, 64)
@@ -181,27 +181,27 @@ def similar_vector_links(rows: DataFrame, id_col: str, vector: str, min_cosine:
         p = p.join(vec.select(F.col("id").alias("a"), F.col("vec").alias("va")), "a").join(vec.select(F.col("id").alias("b"), F.col("vec").alias("vb")), "b")
         return p.select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double").filter(F.col("cosine") >= min_cosine).select("a", "b")
 
-    short = F.col("code")[0].alias("c")
-    head = t1.select("id", short, F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key"))
-    first = head.groupBy("key").agg(F.min(F.struct("id", "c")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.c").alias("ca"))
-    star = head.join(first, "key").filter("id > a").select("a", F.col("id").alias("b"), "ca", F.col("c").alias("cb")).filter(near).select("a", "b")
+    short = (F.col("code")[0].alias("c"), F.col("code")[1].alias("d"))
+    head = t1.select("id", *short, F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key"))
+    first = head.groupBy("key").agg(F.min(F.struct("id", "c", "d")).alias("p"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.c").alias("ca"), F.col("p.d").alias("da"))
+    star = head.join(first, "key").filter("id > a").select("a", F.col("id").alias("b"), "ca", "da", F.col("c").alias("cb"), F.col("d").alias("db")).filter(near).select("a", "b")
     links = materialize(verified(star).unionByName(stars), "links")
     group = connected_components(links).withColumnsRenamed({"node": "id", "component": "g"})
-    grouped = materialize(t1.select("id", short, "bands").join(group, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
-    member = grouped.select("id", "c", "g", F.explode("bands").alias("key"))
+    grouped = materialize(t1.select("id", *short, "bands").join(group, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
+    member = grouped.select("id", "c", "d", "g", F.explode("bands").alias("key"))
     # a bucket of few rows: one join; of many rows: by pairs of its groups, so that rows of one group never meet
     crowded = materialize(member.groupBy("key").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi")).filter(F.col("n") > SMALL_BUCKET).select("key", "lo", "hi"), "crowded")
     few = member.join(small(crowded.select("key"), 16), "key", "left_anti")
-    x = few.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"))
-    y = few.select("key", F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"))
+    x = few.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"))
+    y = few.select("key", F.col("g").alias("gb"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     more = x.join(y, "key").filter(F.col("ga") < F.col("gb")).filter(near).select(*ordered("a", "b"))
     if not crowded.isEmpty():
         many = materialize(member.join(small(crowded.filter("lo < hi").select("key"), 16), "key", "left_semi"), "many")
         sides = many.select("key", "g").distinct()
         meet = salted_join(sides.withColumnRenamed("g", "ga"), sides.withColumnRenamed("g", "gb"), "key", "ga").filter("ga < gb")
-        left = meet.join(many.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca")), ["key", "ga"]).withColumn("k2", F.xxhash64("key", "gb"))
-        right = many.select(F.xxhash64("key", "g").alias("k2"), F.col("key").alias("kb"), F.col("g").alias("g2"), F.col("id").alias("b"), F.col("c").alias("cb"))
+        left = meet.join(many.select("key", F.col("g").alias("ga"), F.col("id").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da")), ["key", "ga"]).withColumn("k2", F.xxhash64("key", "gb"))
+        right = many.select(F.xxhash64("key", "g").alias("k2"), F.col("key").alias("kb"), F.col("g").alias("g2"), F.col("id").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
         wide = salted_join(right, left, "k2", "b").filter(F.col("kb") == F.col("key")).filter(F.col("g2") == F.col("gb")).filter(near).select(*ordered("a", "b"))
         more = more.unionByName(wide)
     return links.unionByName(materialize(verified(more), "links"))
