@@ -154,15 +154,14 @@ def containing_polygons(points: DataFrame, id_col: str, lat: str, lon: str, poly
     outside. Polygons that are null, empty or have fewer than three corners contain
     nothing. Unusable points and null ids give no rows; repeated ids count once.
     The cover is broadcast only if its measured size is small; otherwise cells and
-    points meet in a shuffle, where adaptive execution splits dense cells.
+    points meet in a shuffle, in which dense cells are cut into parts.
     """
     p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
     p = p.filter(F.col("id").isNotNull() & usable_point(F.col("lat"), F.col("lon"))).dropDuplicates(["id"])
     c = polygon_cover(polygons, poly_id, polygon)
     info = c.agg(F.collect_set("level").alias("levels"), F.count("*").alias("n"), F.sum(F.size("edges")).alias("edges")).first()
     levels = sorted(info["levels"]) or [0]
-    if info["n"] * 64 + (info["edges"] or 0) * 40 <= BROADCAST_LIMIT:
-        c = F.broadcast(c)
+    fits = info["n"] * 64 + (info["edges"] or 0) * 40 <= BROADCAST_LIMIT
     p = p.withColumn("cell", F.explode(F.array(*[quad_cell(F.col("lat"), F.col("lon"), x) for x in levels])))
     y, x = F.col("lat"), F.col("lon")
 
@@ -171,4 +170,6 @@ def containing_polygons(points: DataFrame, id_col: str, lat: str, lon: str, poly
         return ((s["y1"] > y) != (s["y2"] > y)) & (x < at)
 
     exact = F.size(F.filter("edges", crosses)) % 2 == 1
-    return p.join(c.drop("level"), "cell").filter(F.col("inside") | exact).select("id", "poly_id")
+    c = c.drop("level")
+    both = p.join(F.broadcast(c), "cell") if fits else salted_join(p, c, "cell", "id")
+    return both.filter(F.col("inside") | exact).select("id", "poly_id")

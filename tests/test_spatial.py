@@ -1,6 +1,7 @@
 import math
 import random
 
+from mosaicry.operators import skew, spatial
 from mosaicry.operators.spatial import containing_polygons, near_pairs
 
 POINTS = "id long, lat double, lon double, cell string, distance_m int"
@@ -43,7 +44,7 @@ def ring(*pts):
     return [{"lon": float(x), "lat": float(y)} for x, y in pts]
 
 
-def test_polygons_with_holes_parts_and_open_rings(spark):
+def test_polygons_with_holes_parts_and_open_rings(spark, monkeypatch):
     square = ring((0, 0), (10, 0), (10, 10), (0, 10))
     hole = ring((4, 4), (6, 4), (6, 6), (4, 6), (4, 4))
     far = ring((20, 20), (21, 20), (20.5, 21))
@@ -57,3 +58,8 @@ def test_polygons_with_holes_parts_and_open_rings(spark):
     got = {(r["id"], r["poly_id"]) for r in containing_polygons(spark.createDataFrame(pts, POINTS), "id", "lat", "lon", spark.createDataFrame(polys, POLYS), "pid").collect()}
     assert got == {(i, 1) for i, y, x, *_ in pts if inside(x, y)} | {(p[0], 5) for p in pts}
     assert containing_polygons(spark.createDataFrame(pts, POINTS), "id", "lat", "lon", spark.createDataFrame([], POLYS), "pid").count() == 0
+    # a cover too large to broadcast, with dense cells
+    monkeypatch.setattr(spatial, "BROADCAST_LIMIT", 0)
+    monkeypatch.setattr(skew, "BLOCK", 9)
+    wide = containing_polygons(spark.createDataFrame(pts, POINTS), "id", "lat", "lon", spark.createDataFrame(polys, POLYS), "pid")
+    assert sorted(map(tuple, wide.collect())) == sorted(got)
