@@ -90,3 +90,15 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...
     j = old.join(n, keys, "full")
     pick = lambda c: F.col(c) if "_n_" + c not in n.columns else F.coalesce(c, "_n_" + c) if c in keep else F.coalesce("_n_" + c, c)
     return j.select(*[F.col(c) if c in keys else pick(c).alias(c) for c in old.columns])
+
+
+def behind(files: DataFrame, version: str, current: int | None) -> DataFrame:
+    """Files written under no version or an older one than ``current``; none if there is no current version."""
+    return files.filter(F.lit(False)) if current is None else files.filter(F.col(version).isNull() | (F.col(version) < current))
+
+
+def marked(files: DataFrame, written: DataFrame, version: str, current: int, key: str = "id") -> DataFrame:
+    """``files`` with the current version on those whose id is in ``written``."""
+    w = written.select(F.col(key).alias("_w")).distinct()
+    j = files.join(w, F.col("id") == F.col("_w"), "left")
+    return j.withColumn(version, F.when(F.col("_w").isNotNull(), F.lit(current)).otherwise(F.col(version))).drop("_w")

@@ -11,7 +11,7 @@ from mosaicry.functions.vectors import cosine, norm
 from mosaicry.operators.facts import prefer, trimmed_centroids
 from mosaicry.operators.graph import communities, npmi_edges
 from mosaicry.operators.matching import best_overlap
-from mosaicry.operators.ranking import word_blocks
+from mosaicry.operators.ranking import distributed_rank, word_blocks
 from mosaicry.operators.skew import left_join
 from mosaicry.tables import load, once
 
@@ -69,6 +69,17 @@ def face_regions(spark: SparkSession, d: str) -> DataFrame:
     return best.withColumn("b", box).select("id", "file_id", "who", *[F.round(F.col(f"b.{c}"), 3).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
+def face_people(spark: SparkSession, d: str) -> DataFrame:
+    """Who the named faces are: a registered person of that name (the smallest id; case and blanks ignored), or a new one behind the register."""
+    tidy = lambda c: F.lower(F.trim(c))
+    f = once(load(spark, d, "meta_face_regions"), "id").select(tidy("name").alias("who")).filter("who <> ''").groupBy("who").agg(F.count("*").alias("n_regions"))
+    p = load(spark, d, "people").select("id", tidy("preferred_name").alias("who"))
+    top = p.agg(F.max("id")).first()[0] or 0
+    j = f.join(p.filter("who <> ''").groupBy("who").agg(F.min("id").alias("person_id")), "who", "left")
+    new = distributed_rank(j.filter("person_id IS NULL").drop("person_id"), [], [F.asc("who")]).select("who", "n_regions", (F.lit(top) + F.col("rank") + 1).alias("person_id"), F.lit(True).alias("is_new"))
+    return j.filter("person_id IS NOT NULL").select("who", "n_regions", "person_id", F.lit(False).alias("is_new")).unionByName(new)
+
+
 def voice_centroids(spark: SparkSession, d: str) -> DataFrame:
     """The trimmed centroid of each person's voice segments: kept rows, spread, and length before normalising."""
     v = load(spark, d, "file_voice_segments").select("id", "person_id", "embedding")
@@ -98,7 +109,7 @@ def term_communities(spark: SparkSession, d: str) -> DataFrame:
     return communities(npmi_edges(_terms(spark, d), "file_id", "term", 0.1, 3), "term_a", "term_b", "score")
 
 
-QUERIES = {f.__name__: f for f in (segment_voices, voice_labels, transcript_windows, people_counts, person_names, face_regions, voice_centroids, centroid_drift, term_npmi, term_communities)}
+QUERIES = {f.__name__: f for f in (segment_voices, voice_labels, transcript_windows, people_counts, person_names, face_regions, face_people, voice_centroids, centroid_drift, term_npmi, term_communities)}
 
 _V = "(SELECT DISTINCT ON (id) id, file_id, start_ms, end_ms, speaker_label, cluster_id, person_id FROM file_voice_segments)"
 #: Segments with the time ``at_ms``: start_ms, else the timestamp in the text.
@@ -124,6 +135,8 @@ LEFT JOIN (SELECT person_id, count(DISTINCT id) AS n FROM voice_speaker_clusters
 SELECT id, w[1] AS first, CASE WHEN len(w) > 2 THEN array_to_string(w[2:len(w)-1], ' ') END AS middle, CASE WHEN len(w) > 1 THEN w[len(w)] END AS last FROM p""",
     "face_regions": """WITH f AS (SELECT DISTINCT ON (id) *, lower(trim(name)) AS who FROM meta_face_regions), b AS (SELECT * FROM f WHERE who <> '' QUALIFY row_number() OVER (PARTITION BY file_id, who ORDER BY source <> 'mwg-rs', id) = 1)
 SELECT id, file_id, who, round((bbox_norm[1] - bbox_norm[3] / 2) * 4000, 3) AS x1, round((bbox_norm[2] - bbox_norm[4] / 2) * 3000, 3) AS y1, round((bbox_norm[1] + bbox_norm[3] / 2) * 4000, 3) AS x2, round((bbox_norm[2] + bbox_norm[4] / 2) * 3000, 3) AS y2 FROM b""",
+    "face_people": """WITH f AS (SELECT lower(trim(name)) AS who, count(*) AS n_regions FROM (SELECT DISTINCT ON (id) * FROM meta_face_regions) WHERE trim(name) <> '' GROUP BY 1), p AS (SELECT lower(trim(preferred_name)) AS who, min(id) AS pid FROM people WHERE trim(preferred_name) <> '' GROUP BY 1), j AS (SELECT who, n_regions, pid FROM f LEFT JOIN p USING (who))
+SELECT who, n_regions, coalesce(pid, (SELECT max(id) FROM people) + row_number() OVER (PARTITION BY pid IS NULL ORDER BY who)) AS person_id, pid IS NULL AS is_new FROM j""",
     "voice_centroids": _TC + " SELECT t.g AS person_id, count(*) AS n, round(avg(1 - list_cosine_similarity(v, c)), 5) AS spread, 1.0::DOUBLE AS length FROM t JOIN c2 USING (g) GROUP BY t.g",
     "centroid_drift": _TC + " SELECT p.id, round(list_cosine_similarity(p.voice_centroid::DOUBLE[], c), 5) AS cosine FROM (SELECT DISTINCT ON (id) * FROM people) p JOIN c2 ON c2.g = p.id WHERE voice_centroid IS NOT NULL",
     "term_npmi": """WITH c AS (SELECT DISTINCT ON (file_id) * FROM file_contexts), f AS (SELECT DISTINCT file_id, lower(trim(t)) AS t FROM (SELECT file_id, unnest(vocab_terms) AS t FROM c) WHERE trim(t) <> ''), n AS (SELECT count(DISTINCT file_id)::DOUBLE AS n FROM f),

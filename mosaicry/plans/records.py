@@ -92,6 +92,18 @@ SELECT split_part(k, '/', 1) AS pattern_class, split_part(k, '/', 2) AS semantic
 {TIMED}, l AS (SELECT file_id, string_agg(coalesce(trim(speaker_label) || ': ', '') || trim(text), chr(10) ORDER BY at_ms NULLS LAST, id) AS transcript FROM s GROUP BY 1),
 c AS (SELECT DISTINCT ON (file_id) file_id, array_to_string(list_sort(list_distinct(derived_tags)), '|') AS tags, array_to_string(list_sort(list_distinct(vocab_terms)), '|') AS terms, metadata_date, metadata_location FROM file_contexts)
 SELECT f.*, description, transcript, tags, terms, metadata_date, metadata_location FROM f LEFT JOIN b USING (file_id) LEFT JOIN l USING (file_id) LEFT JOIN c USING (file_id)""",
+    "voice_leaders": """WITH RECURSIVE v AS (SELECT DISTINCT ON (id) id, file_id, start_ms, embedding::DOUBLE[] AS e FROM file_voice_segments WHERE embedding IS NOT NULL AND file_id IS NOT NULL),
+u AS (SELECT id, file_id, start_ms, list_transform(e, lambda y: y / n) AS x FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS n FROM v) WHERE n > 0),
+r AS (SELECT id, file_id, x, row_number() OVER (PARTITION BY file_id ORDER BY start_ms NULLS FIRST, id) AS k FROM u),
+s AS (
+  SELECT file_id, k, id, id AS leader, [x] AS cs, [1.0::DOUBLE] AS ns, [id] AS ls FROM r WHERE k = 1
+  UNION ALL
+  SELECT file_id, k, id, CASE WHEN hit THEN ls[b] ELSE id END, CASE WHEN hit THEN list_concat(list_append(cs[:b - 1], list_transform(m, lambda y: y / greatest(sqrt(list_dot_product(m, m)), 1e-12))), cs[b + 1:]) ELSE list_append(cs, x) END,
+    CASE WHEN hit THEN list_concat(list_append(ns[:b - 1], ns[b] + 1), ns[b + 1:]) ELSE list_append(ns, 1.0::DOUBLE) END, CASE WHEN hit THEN ls ELSE list_append(ls, id) END
+  FROM (SELECT *, list_transform(list_zip(cs[b], x, list_transform(x, lambda y: ns[b])), lambda q: struct_extract(q, 1) * struct_extract(q, 3) + struct_extract(q, 2)) AS m
+    FROM (SELECT *, list_position(sims, list_max(sims)) AS b, list_max(sims) >= 0.75 AS hit
+      FROM (SELECT r.file_id, r.k, r.id, r.x, cs, ns, ls, list_transform(cs, lambda c: list_dot_product(c, r.x)) AS sims FROM s JOIN r ON r.file_id = s.file_id AND r.k = s.k + 1))))
+SELECT id, file_id, leader FROM s""",
     "source_overlap": "WITH f AS (SELECT DISTINCT sha256, source_id FROM files WHERE sha256 IS NOT NULL AND source_id IS NOT NULL) SELECT a.source_id AS source_a, b.source_id AS source_b, count(*) AS n FROM f a JOIN f b ON a.sha256 = b.sha256 AND a.source_id < b.source_id GROUP BY 1, 2",
     "tag_sets": "WITH c AS (SELECT DISTINCT ON (file_id) file_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(derived_tags, lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS key FROM file_contexts) SELECT key, count(*) AS n_files FROM c WHERE key <> '' GROUP BY 1 HAVING count(*) > 1",
     "place_chain": "SELECT 'n' || n_nationkey AS key, n_name AS name, n_name || ' > ' || r_name AS chain FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, r_name FROM region",

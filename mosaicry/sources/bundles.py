@@ -151,3 +151,22 @@ def stamped_source(sources: DataFrame, source_id: int, n_files: int, at: Column
     hit = F.col("id") == source_id
     now = F.current_timestamp() if at is None else at
     return sources.withColumns({"last_ingested_at": F.when(hit, now).otherwise(F.col("last_ingested_at")), "file_count_ingested": F.when(hit, F.lit(n_files).cast("long")).otherwise(F.col("file_count_ingested"))})
+
+
+# Names of columns that hold other names of a row.
+ALIAS_COLUMNS = frozenset("aliases alias alt_name alt_names nickname nicknames aka also_known_as".split())
+
+
+def alias_columns(names: list[str]) -> list[str]:
+    """Those of ``names`` that hold other names, whatever their case."""
+    return [n for n in names if n.lower() in ALIAS_COLUMNS]
+
+
+def alias_groups(table: DataFrame, key: str) -> DataFrame:
+    """(canonical, terms): each key with its other names, parted by bars in the alias columns; keys without any are left out."""
+    cols = alias_columns([c for c in table.columns if c != key])
+    if not cols:
+        return table.select(F.col(key).alias("canonical"), F.array(F.col(key)).alias("terms")).limit(0)
+    parts = F.concat(*[F.split(F.coalesce(F.col(c), F.lit("")), r"\|") for c in cols])
+    other = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & (x != F.col(key)))
+    return table.filter(F.col(key) != "").select(F.col(key).alias("canonical"), F.concat(F.array(F.col(key)), other).alias("terms")).filter(F.size("terms") > 1)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mosaicry.operators import metadata as m
 from mosaicry.operators.rules import apply_rules, standard_rules
+from mosaicry.operators.scope import behind, marked
 from mosaicry.sources import bundles as b
 
 
@@ -88,6 +89,15 @@ def test_bundles_regions_and_zones(spark, tmp_path):
     assert (row["country"], row["country_code"], row["state"]) == ("Norland", "NOR", None)
 
 
+def test_aliases_and_versions(spark):
+    t = spark.createDataFrame([("Mill", "M| Old Mill ", None), ("Quay", "", ""), ("", "x", ""), ("Pier", None, "Pier|P")], "place string, Alias string, aka string")
+    assert {r["canonical"]: r["terms"] for r in b.alias_groups(t, "place").collect()} == {"Mill": ["Mill", "M", "Old Mill"], "Pier": ["Pier", "P"]}
+    assert b.alias_groups(t.select("place"), "place").count() == 0
+    f = spark.createDataFrame([(1, None), (2, 3), (3, 5)], "id long, version int")
+    assert {r["id"] for r in behind(f, "version", 5).collect()} == {1, 2} and behind(f, "version", None).count() == 0
+    assert behind(marked(f, spark.createDataFrame([(1,), (9,)], "id long"), "version", 5), "version", 5).first()["id"] == 2
+
+
 def test_registers_of_sources(spark):
     s = spark.createDataFrame([(1, "/a", None, None, None)], "id long, path string, removed_at timestamp, last_ingested_at timestamp, file_count_ingested long")
     t = b.added_source(b.added_source(s, "/b"), "/b")
