@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -103,11 +104,15 @@ def leaders(rows: DataFrame, key: str, id_col: str, order: str, vector: str, thr
     r = rows.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(order).alias("o"), F.col(vector).cast("array<float>").alias("v")).filter("key IS NOT NULL AND v IS NOT NULL")
     most = r.select("key", "id").distinct().groupBy("key").count().agg(F.max("count")).first()[0] or 0
     last = max(0, most - 1) // block
-    # ranks without the vectors, so that these are sorted and written nowhere
-    r = r.dropDuplicates(["id"])
-    ranks = distributed_rank(r.select("key", "id", "o"), ["key"], [F.asc("o"), F.asc("id")]).select("id", "rank")
-    r = r.drop("o").join(ranks, "id").withColumn("part", F.floor(F.col("rank") / block)).select("key", "part", "id", "rank", "v")
-    r = materialize(r, "ranked") if last else r
+    if last:
+        # ranks without the vectors, so that these are sorted and written nowhere
+        r = r.dropDuplicates(["id"])
+        ranks = distributed_rank(r.select("key", "id", "o"), ["key"], [F.asc("o"), F.asc("id")]).select("id", "rank")
+        r = r.drop("o").join(ranks, "id").withColumn("part", F.floor(F.col("rank") / block)).select("key", "part", "id", F.col("rank").alias("o"), "v")
+        r = materialize(r, "ranked")
+    else:
+        # every key fits a task, which puts its rows in order itself; the vectors travel once
+        r = r.select("key", F.lit(0).cast("long").alias("part"), "id", "o", "v")
     schema = f"id long, key {r.schema['key'].dataType.simpleString()}, leader long, similarity double, no long, members long, centre array<double>"
 
     kinds = pa.schema([("id", pa.int64()), ("key", to_arrow_type(r.schema["key"].dataType)), ("leader", pa.int64()), ("similarity", pa.float64()), ("no", pa.int64()), ("members", pa.int64()), ("centre", pa.list_(pa.float64()))])
@@ -120,7 +125,9 @@ def leaders(rows: DataFrame, key: str, id_col: str, order: str, vector: str, thr
             centres = before.column("centre").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1).copy()
         n = len(names)
         ids, whom, how = [], [], []
-        b = b.sort_by("rank")
+        b = b.take(pc.sort_indices(b.select(["o", "id"]), sort_keys=[("o", "ascending"), ("id", "ascending")], null_placement="at_start"))
+        every = b.column("id").to_numpy()
+        b = b.filter(pa.array(np.concatenate([[True], every[1:] != every[:-1]])[: len(every)]))
         vs = b.column("v").combine_chunks()
         for i, v in zip(b.column("id").to_pylist(), vs):
             x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
