@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="mosaicry-")
         spark.sparkContext.setCheckpointDir(base)
