@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +99,19 @@ g AS (SELECT * FROM f WHERE regexp_matches(form, '\\S'))
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text
 """
 
+# letters of no class tell a script; a word takes its own script, or that of the text if it has none
+_IN = {k: [(cls[0], cls[i]) for cls in LOOKALIKES if len(cls) > i and cls[i] != "."] for k, i in (("c", 1), ("g", 2))}
+_MOVE = {k: "translate(w, '{}', '{}')".format("".join(a for a, _ in v), "".join(b for _, b in v)) for k, v in _IN.items()}
+_TELLS = {"c": "[\\x{0400}-\\x{052f}]", "g": "[\\x{0370}-\\x{03ff}\\x{1f00}-\\x{1fff}]", "l": "[" + "".join(c for c in string.ascii_letters if c not in {cls[0] for cls in LOOKALIKES}) + "]"}
+_P10_FORMS = f"""{_P10[:_P10.index("FROM documents WHERE text IS NOT NULL),")]}FROM documents),
+t AS (SELECT doc_id, form, regexp_extract_all(form, '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+') AS ws, len(regexp_extract_all(form, '{_TELLS["c"]}')) AS c, len(regexp_extract_all(form, '{_TELLS["g"]}')) AS g, len(regexp_extract_all(form, '{_TELLS["l"]}')) AS l FROM f),
+m AS (SELECT *, CASE WHEN l >= c AND l >= g THEN 'l' WHEN c >= g THEN 'c' ELSE 'g' END AS main FROM t)
+SELECT doc_id, CASE WHEN form IS NULL THEN NULL ELSE nfc_normalize(array_to_string(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '{_TELLS["c"]}') THEN {_MOVE["c"]} WHEN regexp_matches(w, '{_TELLS["g"]}') THEN {_MOVE["g"]}
+  WHEN regexp_matches(w, '{_TELLS["l"]}') THEN w WHEN main = 'c' THEN {_MOVE["c"]} WHEN main = 'g' THEN {_MOVE["g"]} ELSE w END), '')) END AS text FROM m
+"""
+
 ORACLE = {
+    "p10_forms": _P10_FORMS,
     "p10_found": _P10,
     "p6_found": _P6 + "SELECT item_a, item_b FROM r",
     "p6_association": _P6
