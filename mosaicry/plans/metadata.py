@@ -152,7 +152,7 @@ def open_tokens(spark: SparkSession, d: str) -> DataFrame:
     return t.filter(~decided).groupBy("token").agg(F.count("*").alias("n_files"))
 
 
-TEXT_RULES = [(r"\s+", " "), (r"([0-9]+) ?m\b", r"\1 metres"), (r"^ | $", ""), (r"(harbour) (survey)", r"\2 of the \1")]
+TEXT_RULES = [(r"\s+", " "), (r"([0-9]+) ?m([ .,;])", r"\1 metres\2"), (r"^ | $", ""), (r"(harbour) (survey)", r"\2 of the \1")]
 
 
 def normal_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +248,7 @@ WHERE list_contains(list_transform(list_concat(coalesce(derived_tags, []), coale
 u AS (SELECT id, list_filter(t, lambda x: regexp_matches(x, '^\d{{5}}$')) AS s, list_filter(t, lambda x: NOT regexp_matches(x, '^\d{{5}}$') AND x NOT IN ('copy', 'edit', 'roll', 'page')) AS k FROM t)
 SELECT id, trim(replace(array_to_string(list_transform(k, lambda x: CASE x WHEN 'vid' THEN 'video' WHEN 'dsc' THEN 'picture' ELSE x END), ' '), 'album', 'book')) AS name, s[-1] AS sequence FROM u""",
     "open_tokens": rf"SELECT token, count(*) AS n_files FROM (SELECT id, unnest({_TOK}) AS token FROM (SELECT DISTINCT ON (id) * FROM files)) WHERE NOT regexp_matches(token, '^\d{{5}}$') AND token NOT IN ('copy', 'edit', 'vid', 'dsc', 'roll') GROUP BY 1",
-    "normal_texts": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([0-9]+) ?m\b', '\1 metres', 'g'), '^ | $', '', 'g'), '(harbour) (survey)', '\2 of the \1', 'g') AS text FROM documents WHERE text IS NOT NULL",
+    "normal_texts": r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([0-9]+) ?m([ .,;])', '\1 metres\2', 'g'), '^ | $', '', 'g'), '(harbour) (survey)', '\2 of the \1', 'g') AS text FROM documents WHERE text IS NOT NULL",
     "open_terms": f"SELECT term, count(*) AS n_files FROM (SELECT DISTINCT file_id, trim(t) AS term FROM (SELECT file_id, unnest(vocab_terms) AS t FROM {_CTX})) WHERE term <> '' AND NOT regexp_matches(term, '^early |(barn|quay)$|^quiet depot$', 'i') GROUP BY 1",
     "file_prompts": f"SELECT file_id, {_PROMPT} AS prompt FROM {_CTX}",
     "enrichment_texts": f"""WITH v AS (SELECT file_id, 0 AS k, canonical AS o, value AS v FROM ({_FIELDS}) WHERE canonical <> 'size' UNION ALL SELECT DISTINCT file_id, 1, keyword, keyword FROM ({_KEYS}))
