@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +83,14 @@ def face_regions(rows: DataFrame, key: str, document: str, prefixes: dict[str, t
 REGION_TAGS = {"mwg-rs": ("Region",), "acdsee": ("ACDSeeRegion", "ACDSeeRegionDLY", "ACDSeeRegionALG")}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often ``use`` names it: a one-element array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def overlaid(base: Column, over: Column) -> Column:
     """The entries of two maps; those of ``over`` win."""
-    return F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(over), k)), over)
+    return bound(over, lambda o: F.map_concat(F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(o), k)), o))
 
 
 def _map_of(values: dict[str, Column]) -> Column:
@@ -100,20 +106,24 @@ def rule_fields(captured: Column, metadata: Column, ext: Column, quality: dict[s
     time), flash_fired (the lowest bit of flash), aspect_ratio, and the measures in ``quality``.
     """
     empty = F.create_map().cast("map<string,string>")
-    f = overlaid(F.coalesce(metadata, empty), F.coalesce(captured, empty))
-    get = lambda k: F.try_element_at(f, F.lit(k))
-    number = lambda k: get(k).try_cast("double")
-    taken = get("exif_date_taken")
-    w, h = number("exif_width"), number("exif_height")
-    derived = {
-        "file_format": F.when(ext != "", F.lower(F.regexp_replace(ext, r"^\.+", ""))),
-        "gps_present": F.when(get("exif_gps_lat") != "", F.lit("true")),
-        "hour_of_day": F.when(F.substring(taken, 11, 1).isin("T", " "), F.substring(taken, 12, 2).try_cast("int")),
-        "flash_fired": number("flash").cast("bigint").bitwiseAND(1),
-        "aspect_ratio": F.when((w > 0) & (h > 0), w / h),
-        **(quality or {}),
-    }
-    return overlaid(f, _map_of(derived))
+
+    def derive(f: Column) -> Column:
+        get = lambda k: F.try_element_at(f, F.lit(k))
+        number = lambda k: get(k).try_cast("double")
+        taken = get("exif_date_taken")
+        w, h = number("exif_width"), number("exif_height")
+        derived = {
+            "file_format": F.when(ext != "", F.lower(F.regexp_replace(ext, r"^\.+", ""))),
+            "gps_present": F.when(get("exif_gps_lat") != "", F.lit("true")),
+            "hour_of_day": F.when(F.substring(taken, 11, 1).isin("T", " "), F.substring(taken, 12, 2).try_cast("int")),
+            "flash_fired": number("flash").cast("bigint").bitwiseAND(1),
+            "aspect_ratio": F.when((w > 0) & (h > 0), w / h),
+            **(quality or {}),
+        }
+        return overlaid(f, _map_of(derived))
+
+    # each map holds the one below it many times: unbound, one row's fields are worked out thousands of times
+    return bound(overlaid(F.coalesce(metadata, empty), F.coalesce(captured, empty)), derive)
 
 
 def resolved_keywords(tags: DataFrame, key: str, tag: str, vocabulary: DataFrame, include_synonyms: bool) -> DataFrame:

@@ -7,6 +7,7 @@ tagged in one pass inside generated code.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,24 +25,76 @@ def _parts(d: Column) -> tuple[Column, Column, Column]:
     return F.get(p, F.lit(0)).try_cast("int"), F.get(p, F.lit(1)).try_cast("int"), F.substring(F.get(p, F.lit(2)), 1, 2).try_cast("int")
 
 
-def compile_rule(rule: dict, fields: Column) -> Column:
-    """The tag of ``rule`` where it fires on a map of field values, else null.
+def _config(rule: dict) -> dict:
+    cfg = rule.get("match_config") or {}
+    return json.loads(cfg) if isinstance(cfg, str) else cfg
+
+
+#: Computed rules for the n-th weekday of a month.
+_NTH = {"thanksgiving_ca": "Canadian Thanksgiving", "thanksgiving_us": "US Thanksgiving", "mothers_day": "Mother's Day", "fathers_day": "Father's Day"}
+
+
+class _Seen:
+    """What rules look at, as columns worked out once a row: texts of fields, then what they say, then feasts."""
+
+    def __init__(self, fields: str) -> None:
+        self.fields = F.col(fields)
+        self.layers: list[dict[tuple, tuple[str, Column]]] = [{}, {}, {}]
+
+    def _keep(self, level: int, value: Column, *what) -> Column:
+        layer = self.layers[level]
+        layer.setdefault(what, (f"_{level}_{len(layer)}", value))
+        return F.col(layer[what][0])
+
+    def text(self, name: str) -> Column:
+        return self._keep(0, F.try_element_at(self.fields, F.lit(name)), name)
+
+    def lower(self, name: str) -> Column:
+        return self._keep(1, F.lower(self.text(name)), "lower", name)
+
+    def number(self, name: str) -> Column:
+        return self._keep(1, _number(self.text(name)), "number", name)
+
+    def parts(self, name: str) -> list[Column]:
+        return [self._keep(1, c, "part", name, i) for i, c in enumerate(_parts(self.text(name)))]
+
+    def exact(self, name: str, least: str | None) -> Column:
+        return self._keep(1, precise_enough(self.text(name), least, self.text("file_date_precision")), "exact", name, least)
+
+    def decade(self) -> Column:
+        return self._keep(1, decade(F.substring(self.text("file_date"), 1, 4).try_cast("int")), "decade")
+
+    def feast(self, algorithm: str) -> Column:
+        year, month, day = self.parts("file_date")
+        if algorithm == "easter":
+            m, d = easter(year)
+        else:
+            m, weekday, n = NTH_FEASTS[_NTH[algorithm]]
+            d = nth_weekday(year, m, weekday, n)
+        return self._keep(2, (month == m) & (day == d), algorithm)
+
+    def added(self, rows: DataFrame, key: str) -> DataFrame:
+        rows = rows.select(key, *[c.alias(n) for n, c in self.layers[0].values()])
+        for layer in self.layers[1:]:
+            rows = rows.select("*", *[c.alias(n) for n, c in layer.values()])
+        return rows
+
+
+def compile_rule(rule: dict, seen: _Seen) -> Column:
+    """The tag of ``rule`` where it fires on what was seen of a row, else null.
 
     match_type is one of month_day, month_range, range (both ends included),
     comparison, exact, in_list (case ignored) and computed. A missing field, a value
     that is no number or date, or too coarse a date does not fire.
     """
-    cfg = rule.get("match_config") or {}
-    cfg = json.loads(cfg) if isinstance(cfg, str) else cfg
-    get = lambda name: F.try_element_at(fields, F.lit(name))
-    kind, tag, value = rule["match_type"], F.lit(rule["result_tag"]), get(rule.get("field_name") or "")
-    exact_enough = lambda d: precise_enough(d, rule.get("minimum_precision"), get("file_date_precision"))
+    cfg = _config(rule)
+    kind, tag, name, least = rule["match_type"], F.lit(rule["result_tag"]), rule.get("field_name") or "", rule.get("minimum_precision")
     if kind in ("month_day", "month_range"):
-        _, month, day = _parts(value)
+        _, month, day = seen.parts(name)
         hit = (month == cfg["month"]) & (day == cfg["day"]) if kind == "month_day" else month.isin(*cfg["months"])
-        return F.when(hit & exact_enough(value), tag)
+        return F.when(hit & seen.exact(name, least), tag)
     if kind == "range":
-        x = _number(value)
+        x = seen.number(name)
         hit = x.isNotNull()
         if cfg.get("min") is not None:
             hit = hit & (x >= float(cfg["min"]))
@@ -49,40 +102,34 @@ def compile_rule(rule: dict, fields: Column) -> Column:
             hit = hit & (x <= float(cfg["max"]))
         return F.when(hit, tag)
     if kind == "comparison":
-        a, b = _number(get(cfg.get("field_a", ""))), _number(get(cfg.get("field_b", "")))
+        a, b = seen.number(cfg.get("field_a", "")), seen.number(cfg.get("field_b", ""))
         ops = {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b, "==": a == b}
         return F.when(ops.get(cfg.get("op", ">"), F.lit(False)), tag)
     if kind == "exact":
-        return F.when(value == str(cfg.get("value", "")), tag)
+        return F.when(seen.text(name) == str(cfg.get("value", "")), tag)
     if kind == "in_list":
-        return F.when(F.lower(value).isin(*[str(v).lower() for v in cfg.get("values", [])] or [""]), tag)
+        return F.when(seen.lower(name).isin(*[str(v).lower() for v in cfg.get("values", [])] or [""]), tag)
     if kind != "computed":
         return F.lit(None).cast("string")
     algorithm = cfg.get("algorithm", "")
     if algorithm == "panoramic":
-        w, h = _number(get("exif_width")), _number(get("exif_height"))
-        return F.when(F.try_divide(w, h) >= float(cfg.get("min_ratio", 2.0)), tag)
-    d = get("file_date")
+        return F.when(F.try_divide(seen.number("exif_width"), seen.number("exif_height")) >= float(cfg.get("min_ratio", 2.0)), tag)
     if algorithm == "decade":
-        return F.when(exact_enough(d), decade(F.substring(d, 1, 4).try_cast("int")))
-    year, month, day = _parts(d)
-    nth = {"thanksgiving_ca": "Canadian Thanksgiving", "thanksgiving_us": "US Thanksgiving", "mothers_day": "Mother's Day", "fathers_day": "Father's Day"}
-    if algorithm == "easter":
-        m, n = easter(year)
-        hit = (month == m) & (day == n)
-    elif algorithm in nth:
-        m, weekday, n = NTH_FEASTS[nth[algorithm]]
-        hit = (month == m) & (day == nth_weekday(year, m, weekday, n))
-    else:
-        return F.lit(None).cast("string")
-    return F.when(hit & exact_enough(d), tag)
+        return F.when(seen.exact("file_date", least), seen.decade())
+    if algorithm == "easter" or algorithm in _NTH:
+        return F.when(seen.feast(algorithm) & seen.exact("file_date", least), tag)
+    return F.lit(None).cast("string")
 
 
 def apply_rules(rows: DataFrame, key: str, fields: str, rules: list[dict]) -> DataFrame:
-    """(key, tag, category) of all rules that fire on the map column ``fields``; each once per key."""
-    fired = [F.struct(compile_rule(r, F.col(fields)).alias("tag"), F.lit(r.get("category", "")).alias("category")) for r in rules]
+    """(key, tag, category) of all rules that fire on the map column ``fields``; each once per key.
+
+    What rules look at is worked out once a row, however many of them share it; the rules only compare.
+    """
+    seen = _Seen(fields)
+    fired = [F.struct(compile_rule(r, seen).alias("tag"), F.lit(r.get("category", "")).alias("category")) for r in rules]
     hits = F.filter(F.array(*fired), lambda r: r["tag"].isNotNull())
-    return rows.select(F.col(key), F.explode(F.array_distinct(hits)).alias("r")).select(key, "r.tag", "r.category")
+    return seen.added(rows, key).select(key, F.explode(F.array_distinct(hits)).alias("r")).select(key, "r.tag", "r.category")
 
 
 def _rule(kind: str, tag: str, field: str | None, category: str, **cfg) -> dict:

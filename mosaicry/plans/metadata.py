@@ -73,7 +73,9 @@ QUALITY = {"exposure": _double("p_partkey % 100", 100), "highlights": _double("p
 
 def camera_tags(spark: SparkSession, d: str) -> DataFrame:
     """Tags of all standard rules over camera data and picture measures."""
-    p = load(spark, d, "part")
+    # a small file holds many rows of long work: one partition per file would leave most cores idle
+    p = load(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    p = p.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p_partkey")
     captured = F.create_map(*[x for k, v in CAMERA.items() for x in (F.lit(k), F.expr(v).cast("string"))])
     metadata = F.create_map(F.lit("iso"), F.lit("0"), F.lit("exif_date_taken"), F.concat(F.lit("2021-03-04T"), F.lpad((F.col("p_partkey") % 24).cast("string"), 2, "0"), F.lit(":10:00")))
     f = p.select(F.col("p_partkey").alias("id"), m.rule_fields(captured, metadata, F.lit(""), {k: F.expr(v) for k, v in QUALITY.items()}).alias("fields"))

@@ -115,3 +115,13 @@ def test_registers_of_sources(spark):
         b.new_locations(reg, add, "n")
     assert b.new_locations(reg, add, "n", force=True).count() == 2 and b.new_locations(reg, add.filter("n = 'Mill'"), "n").count() == 1
     assert tuple(b.clusters_as_places(spark.createDataFrame([("c", 1.5, 2.5)], "label string, lat double, lon double"), 0.3).first()) == ("c", "1.5", "2.5", "300.0")
+
+
+def test_rule_fields_and_what_rules_see_are_worked_out_once(spark):
+    df = spark.createDataFrame([(1, "300", "2020-07-01")], "id long, w string, d string")
+    captured = F.create_map(F.lit("exif_width"), F.concat("w", F.lit("00")), F.lit("exif_height"), F.lit("100"), F.lit("file_date"), F.col("d"))
+    f = df.select("id", m.rule_fields(captured, F.create_map(F.lit("iso"), F.lit("9")), F.lit(".jpg")).alias("f"))
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("concat(w") == 1
+    t = apply_rules(f, "id", "f", standard_rules())
+    assert {r["tag"] for r in t.collect()} >= {"Canada Day", "Summer", "2020s", "Landscape", "Panoramic", "low_iso"}
+    assert t._jdf.queryExecution().optimizedPlan().toString().count("element_at(f") <= 40
