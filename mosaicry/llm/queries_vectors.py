@@ -27,7 +27,7 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    v = materialize(unit_vectors(load(spark, d, "file_voice_embeddings"), "file_id", "embedding", "model"), "units")
+    v = unit_vectors(load(spark, d, "file_voice_embeddings"), "file_id", "embedding", "model")
     n = nearest(v, v, k=5, min_cosine=0.7)
     return n.select(F.least("id", "other").alias("file_a"), F.greatest("id", "other").alias("file_b")).distinct()
 

@@ -47,12 +47,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def materialize(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table; ``by`` names a column whose values get folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mosaicry/{name}-{uuid.uuid4().hex}"
     honest_sizes(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _open.add((id(spark), path))
     out = spark.read.schema(df.schema).parquet(path)
     out._mosaicry_path = path

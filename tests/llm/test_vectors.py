@@ -1,6 +1,6 @@
 import numpy as np
 
-from mosaicry.llm import clusters
+from mosaicry.llm import clusters, neighbours
 from mosaicry.llm.clusters import band_recall, bands_for, describe_groups, jaccard_of_cosine, similar_vector_links, split_around_medoids, vector_groups
 from mosaicry.llm.neighbours import fit_router, nearest, unit_vectors
 
@@ -135,3 +135,28 @@ def test_loose_groups_split_by_all_their_similar_pairs(spark):
         got = {r["group_id"]: r["size"] for r in describe_groups(df, "id", "vec", g, split=True).collect()}
         assert got == want
     clusters.PAIR_BLOCK = 1024
+
+
+def test_the_disk_holds_each_vector_once(spark, monkeypatch):
+    # many shards and blocks: no vector is copied for a block of queries or follows a query to a shard
+    rng = np.random.default_rng(3)
+    x = rng.integers(-20, 20, (300, 16)) / 128
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    written, write = [], neighbours.materialize
+
+    def counted(t, name="t", **more):
+        out = write(t, name, **more)
+        if {"vec", "packed"} & set(out.columns):
+            written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(neighbours, "materialize", counted)
+    u = unit_vectors(df, "id", "vec")
+    got = {(r["id"], r["other"]) for r in nearest(u, u, 3, 0.3, factor=1.0, sample=100, shard=50, block=25).collect()}
+    assert got == brute_top(list(enumerate(x)), list(enumerate(x)), 3, 0.3) and got
+    assert sum(n for _, n in written) == len(x)
+
+
+def test_packed_vectors_come_back_as_they_were():
+    x = np.random.default_rng(2).standard_normal((9, 33)).astype(np.float32)
+    assert (neighbours.unpacked(neighbours.packed(x), 33) == x).all()
