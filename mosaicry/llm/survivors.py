@@ -101,9 +101,12 @@ def current_values(values: DataFrame, learned: tuple[str, ...] = (), min_support
         return best(v, F.lit(False))
     v = materialize(v, "values")
     known = v.filter(F.col("field").isin(*learned))
-    order = small(materialize(value_precedence(known, min_support), "precedence"), 128)
-    # precedence matters only where an undated value has company
+    # precedence matters only where an undated value has company; without such values none is learned
     open_ = known.groupBy("g", "field").agg(F.max("last").alias("top"), F.count("*").alias("k"), F.count("last").alias("dated")).filter("k > 1 AND dated < k").select("g", "field", "top")
+    open_ = materialize(open_, "open")
+    if open_.isEmpty():
+        return best(v, F.lit(False))
+    order = small(materialize(value_precedence(known, min_support), "precedence"), 128)
     part = materialize(known.join(open_, ["g", "field"]), "undated")
     older = part.filter("last IS NULL OR last = top").select("g", "field", F.col("v").alias("older"), F.col("last").alias("l1")).join(order, ["field", "older"])
     newer = part.select("g", "field", F.col("v").alias("newer"), F.col("last").alias("l2"))
@@ -115,12 +118,13 @@ def current_values(values: DataFrame, learned: tuple[str, ...] = (), min_support
 def current_scores(scores: DataFrame, model: str = "nima_mobilenet") -> DataFrame:
     """(file_id, score): the current score of each file by that model, if it lies in 0 to 1.
 
-    The score is the file's current value in the sense of current_values. A row without
+    The score is the file's current value in the sense of current_values: dated rows by their dates, an undated
+    one by the precedence that the dated rows of all files teach. A row without
     a score is a value too, and so is one out of range: if such a row is the latest, the
     file has no score. Rows of one time: the one seen more often, then the smaller text.
     """
     s = scores.filter((F.col("model_name") == model) & F.col("file_id").isNotNull())
-    now = current_values(field_values(s, "file_id", {"score": F.coalesce(F.col("score").cast("string"), F.lit("none"))}, F.unix_micros("scored_at")))
+    now = current_values(field_values(s, "file_id", {"score": F.coalesce(F.col("score").cast("string"), F.lit("none"))}, F.unix_micros("scored_at")), ("score",))
     return now.select(F.col("g").alias("file_id"), F.col("v").try_cast("double").alias("score")).filter("score >= 0 AND score <= 1")
 
 

@@ -145,3 +145,11 @@ def test_token_counts_of_whole_texts(spark):
     t.encode_special_tokens = True
     want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert {r["id"]: r["n_tokens"] for r in with_tokens(df, "text").collect()} == want
+
+
+def test_an_undated_score_is_settled_by_learned_precedence(spark):
+    at = "2024-01-0{} 00:00:00"
+    rows = [(f, "nima_mobilenet", s, at.format(day)) for f in (1, 2, 3) for day, s in ((1, 0.2), (2, 0.8))]
+    rows += [(4, "nima_mobilenet", 0.2, at.format(5)), (4, "nima_mobilenet", 0.8, None), (5, "nima_mobilenet", 0.8, at.format(1)), (5, "nima_mobilenet", 0.2, None)]
+    df = spark.createDataFrame(rows, "file_id long, model_name string, score double, at string").withColumn("scored_at", F.col("at").cast("timestamp"))
+    assert {r["file_id"]: r["score"] for r in current_scores(df).collect()} == {1: 0.8, 2: 0.8, 3: 0.8, 4: 0.8, 5: 0.8}
