@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from itertools import combinations, pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaicry.functions.geo import EARTH_M, haversine_m, usable_point
 from mosaicry.operators.skew import salted_join
 from mosaicry.scratch import materialize
+from mosaicry.tables import small
+
+#: Letter pairs in a key that two names share; one alone where either name is longer than LONG.
+TOGETHER, LONG = 2, 40
+#: Room for rounding where a bound on matched letters is worked out.
+_EPS = 1e-9
 
 
 def _xyz(lat: str, lon: str) -> list[Column]:
@@ -99,42 +110,139 @@ def mentions(texts: DataFrame, id_col: str, text: str, terms: DataFrame, term: s
     return d.join(t, "run").select("id", "term").distinct()
 
 
+def _bucket(a: int | np.ndarray, b: int | np.ndarray) -> int | np.ndarray:
+    """A number below 65,536 for two neighbouring letters."""
+    return (a * 40503 + b) & 0xFFFF
+
+
+def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << 16, np.int64)
+    for b in batches:
+        c = np.frombuffer("\0".join(b.column(0).to_pylist()).encode("utf-32-le"), np.uint32)
+        inside = (c[:-1] > 0) & (c[1:] > 0)
+        total += np.bincount(_bucket(c[:-1], c[1:])[inside], minlength=1 << 16)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+
+
+def _shared_pairs(n: int, threshold: float) -> tuple[dict[int, int], list[int]]:
+    """For a name of n letters: the fewest letter pairs it shares with partners met by keys of k pairs, for each k; lengths of partners that may share none."""
+    least, free = {}, []
+    for o in range(math.ceil(n * threshold / (2 - threshold) - _EPS), math.floor(n * (2 - threshold) / threshold + _EPS) + 1):
+        m = math.ceil((n + o) * (threshold / 2) - _EPS)
+        if m <= min(n, o) and m < max(n, o):  # else too few letters, or equal names
+            shared = 3 * m - n - o - 1
+            k = min(shared, 1 if max(n, o) > LONG else TOGETHER)
+            if k > 0:
+                least[k] = min(shared, least.get(k, shared))
+            else:
+                free.append(o)
+    return least, free
+
+
+_KEYS = "key long, id long, len int, letters long, more_letters int, pairs long, more_pairs int"
+
+
+def _name_keys(threshold: float, count: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of ``_KEYS`` for (id, s): the keys of a name, and its letters and letter pairs as bits (what has no bit of its own is counted in more_...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, plan = count.tolist(), functools.cache(lambda n: _shared_pairs(n, threshold))
+        for b in batches:
+            key, times, facts = [], [], []
+            for s in b.column(1).to_pylist():
+                letters = [ord(c) for c in s]
+                buckets = [_bucket(x, y) for x, y in pairwise(letters)]
+                nth: Counter[int] = Counter()
+                rare = []
+                for x in buckets:
+                    rare.append((often[x], x, nth[x]))
+                    nth[x] += 1
+                rare = [x | (i & 0x7FFF) << 16 for _, x, i in sorted(rare)]
+                n = len(s)
+                least, free = plan(n)
+                mine = {3 << 61 | min(n, o) << 20 | max(n, o) for o in free}
+                for k, shared in least.items():
+                    for c in combinations(rare[: n - 1 - shared + k], k):
+                        mine.add(1 << 62 | c[0] if k == 1 else c[0] << 31 | c[1])
+                key += mine
+                times.append(len(mine))
+                bits = sum(((1 << min(k, 2)) - 1) << 2 * x for x, k in Counter(x % 32 for x in letters).items())
+                bits2 = sum(1 << x for x in {x % 64 for x in buckets})
+                facts.append((n, bits, n - bits.bit_count(), bits2, len(buckets) - bits2.bit_count()))
+            cols = [np.array([f[i] for f in facts], t) for i, t in enumerate((np.int32, np.uint64, np.int32, np.uint64, np.int32))]
+            cols = [np.array(key, np.int64), *[np.repeat(c, times) for c in (b.column(0).to_numpy(), *cols)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols], names=[x.split()[0] for x in _KEYS.split(", ")])
+
+    return run
+
+
+def alike_candidates(norms: DataFrame, threshold: float) -> DataFrame:
+    """(i, j), i < j: pairs of (id, s) that may have ``threshold`` of their letters in common; no pair that does is missing.
+
+    A ratio of t needs M = t (la + lb) / 2 letters in the same order. Of the M - 1 steps
+    between them each unmatched letter of either name breaks one at most, so at least
+    c = 3 M - la - lb - 1 pairs of neighbouring letters are shared. With all pairs in one
+    order, rare ones first, the first k shared pairs stand among the first n - c + k of the
+    n pairs of each name; k of them make a key, so what many names have in common
+    makes none. What meets must share enough letters and enough pairs, counted in bits.
+    """
+    spark = norms.sparkSession
+    count = np.zeros(1 << 16, np.int64)
+    for r in norms.select("s").mapInArrow(_count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # 65,536 rows at most
+        count[r["bucket"]] = r["n"]
+    keys = materialize(norms.select("id", "s").mapInArrow(_name_keys(threshold, count), _KEYS), "keys")
+    # a small table makes many pairs
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    x, y = (keys.repartition(tasks, "key").withColumnsRenamed({c: c + k for c in keys.columns if c != "key"}) for k in "12")
+    need = F.ceil((F.col("len1") + F.col("len2")) * (threshold / 2) - _EPS)
+    shared = lambda c: F.bit_count(F.col(c + "1").bitwiseAND(F.col(c + "2"))) + F.least(f"more_{c}1", f"more_{c}2")
+    j = salted_join(x, y, "key", "id1").filter("id1 < id2").filter(F.least("len1", "len2") >= need).filter(shared("letters") >= need)
+    j = j.filter(shared("pairs") >= 3 * need - F.col("len1") - F.col("len2") - 1)
+    return j.select(F.col("id1").alias("i"), F.col("id2").alias("j")).distinct().repartition(tasks, "i", "j")
+
+
+def _in_order(x: list[str], y: list[str]) -> np.ndarray:
+    """Letters in the longest common subsequence of each pair of names of at most 64 letters; a bit for each letter of x."""
+    a, b = (np.array(v, "U64").view(np.uint32).reshape(-1, 64) for v in (x, y))
+    v = np.full(len(x), 2**64 - 1, np.uint64)
+    for k in range(min(64, max(map(len, y), default=0))):
+        c = b[:, k : k + 1]
+        u = v & np.packbits((a == c) & (c > 0), axis=1, bitorder="little").view("<u8").ravel()
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v)
+
+
 def similar_names(names: DataFrame, name: str, threshold: float = 0.85) -> DataFrame:
     """(name_a, name_b, ratio) of distinct names with a matching-blocks ratio of at least ``threshold``, name_a < name_b.
 
     Names are compared in lower case without punctuation; those that become equal are
-    left out. The ratio is 2 M / (la + lb) with M matched letters. M letters matched in
-    common leave la + lb - 2 M others, and at least one of d + 1 pieces of the longer
-    name lies unbroken in the other if it has at most d unmatched letters, so a shared
-    piece at a like place makes a candidate; names too short for that meet by length.
+    left out. The ratio is 2 M / (la + lb) with M matched letters. Each spelling is
+    compared once, whatever the names that have it. The blocks depend on which name comes first, so
+    two spellings are compared in both directions if their names stand in both orders.
     """
     norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", ""), r"\s+", " "))
     n = names.filter(F.col(name).isNotNull()).select(F.col(name).alias("name"), norm.alias("s")).filter("s <> ''").distinct()
-    n = materialize(n.withColumn("len", F.length("s")), "names")
-    # a name of length l is cut into pieces for every partner length; the other side offers all its substrings of those sizes
-    slack = 2 * (1 - threshold) / threshold
-    most = lambda l: F.floor(l * slack).cast("int")  # noqa: E731 - unmatched letters of the two names together
-    pieces = most(F.col("len")) + 1
-    width = F.greatest(F.floor(F.col("len") / pieces), F.lit(1)).cast("int")
-    cut = n.withColumn("i", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumn("w", width)
-    cut = cut.select("name", "s", "len", F.col("w").alias("size"), F.substring("s", F.col("i") * F.col("w") + 1, F.col("w")).alias("piece")).filter("length(piece) = size").distinct()
-    sizes = n.select(width.alias("size"), F.col("len").alias("l2")).distinct()
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    reach = F.sequence(F.ceil(F.col("len") * low).cast("int"), F.floor(F.col("len") * high).cast("int"))
-    want = n.select("name", "s", F.explode(reach).alias("l2")).join(sizes, "l2")
-    want = want.select("name", "s", "size").distinct().withColumn("j", F.explode(F.sequence(F.lit(1), F.greatest(F.length("s") - F.col("size") + 1, F.lit(1)))))
-    want = want.select(F.col("name").alias("b"), F.col("s").alias("sb"), "size", F.substring("s", F.col("j"), F.col("size")).alias("piece")).distinct()
-    # a piece may be very common: it is cut into parts; the two names must share enough letters whatever their order
-    cut = cut.select(F.col("name").alias("a"), F.col("s").alias("sa"), F.concat_ws(" ", "size", "piece").alias("k"))
-    want = want.select("b", "sb", F.concat_ws(" ", "size", "piece").alias("k"))
-    cand = salted_join(cut, want, "k", "a").filter("a <> b AND sa <> sb")
-    cand = cand.filter(2 * F.least(F.length("sa"), F.length("sb")) >= threshold * (F.length("sa") + F.length("sb")))
-    cand = cand.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), F.when(F.col("a") < F.col("b"), F.col("sa")).otherwise(F.col("sb")).alias("x"), F.when(F.col("a") < F.col("b"), F.col("sb")).otherwise(F.col("sa")).alias("y")).distinct()
-
-    def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            r = [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(b["x"], b["y"])]
-            yield pd.DataFrame({"name_a": b["name_a"], "name_b": b["name_b"], "ratio": r})
+    n = materialize(n, "names")
+    s = n.groupBy("s").agg(F.min("name").alias("first"), F.max("name").alias("last")).repartition(n.sparkSession.sparkContext.defaultParallelism, "s")
+    s = materialize(s.withColumn("id", F.monotonically_increasing_id()), "spellings")
 
-    out = cand.mapInPandas(ratios, "name_a string, name_b string, ratio double").filter(F.col("ratio") >= threshold)
-    return out.select("name_a", "name_b", F.round("ratio", 4).alias("ratio"))
+    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            lx, ly = np.array([len(v) for v in x], int), np.array([len(v) for v in y], int)
+            may = (np.maximum(lx, ly) > 64) | (_in_order(x, y) >= np.ceil((lx + ly) * (threshold / 2) - _EPS))
+            one, other = np.zeros(len(x)), np.zeros(len(x))
+            for r, u, v, wanted in ((one, x, y, b.column(4)), (other, y, x, b.column(5))):
+                for k in np.flatnonzero(may & wanted.to_numpy(zero_copy_only=False)):
+                    r[k] = SequenceMatcher(None, u[k], v[k], autojunk=False).ratio()
+            keep = pa.array(np.maximum(one, other) >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(one), pa.array(other)], names=["i", "j", "one", "other"]).filter(keep)
+
+    side = lambda df, i, **c: small(df.select(F.col("id").alias(i), *[F.col(v).alias(k) for k, v in c.items()]), 200)
+    pairs = alike_candidates(s, threshold).join(side(s, "i", x="s", x1="first", x2="last"), "i").join(side(s, "j", y="s", y1="first", y2="last"), "j")
+    pairs = pairs.select("i", "j", "x", "y", F.col("x1") < F.col("y2"), F.col("y1") < F.col("x2")).mapInArrow(ratios, "i long, j long, one double, other double")
+    n = materialize(n.join(s, "s").select("name", "id"), "names")
+    out = pairs.join(side(n, "i", a="name"), "i").join(side(n, "j", b="name"), "j")
+    out = out.select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), F.when(F.col("a") < F.col("b"), F.col("one")).otherwise(F.col("other")).alias("ratio"))
+    return out.filter(F.col("ratio") >= threshold).select("name_a", "name_b", F.round("ratio", 4).alias("ratio"))

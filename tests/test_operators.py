@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mosaicry.operators.facts import coverage, first_known, json_facts, pivot_max, trimmed_centroids
 from mosaicry.operators.graph import communities, dbscan, npmi_edges
 from mosaicry.operators.hashes import canonical_ids, greedy_groups
-from mosaicry.operators.matching import best_overlap, mentions, nearest_place, places_within, similar_names
+from mosaicry.operators.matching import alike_candidates, best_overlap, mentions, nearest_place, places_within, similar_names
 from mosaicry.operators.ranking import combined_rank, distributed_rank, quality_rank
 from mosaicry.operators.rules import apply_rules, normalised_name, standard_rules
 from mosaicry.operators.scope import FileScope, having_any, originals, pending, upsert
@@ -98,6 +98,29 @@ def test_similar_names_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_similar_names_of_any_length_and_likeness(spark):
+    rnd = random.Random(7)
+    base = ["".join(rnd.choice("abcdefghijkl\u00e9\U0001d4b6 ") for _ in range(k)).strip() or "x" for k in (1, 1, 2, 2, 3, 3, 4, 5, 7, 12, 20, 38, 39, 40, 41, 45, 60, 63, 64, 65, 66, 70, 90)]
+    names = sorted({n for b in base for k in range(3) for n in (b, b[k:], b[k::-1] + b[k:], b[:k] + "l" + b[k + 1 :], b[: 2 + k] + "?" + b[2 + k :], b + b[:k] + "aa") if n.strip()})
+    norm = {n: " ".join(n.replace("?", "").split()) for n in names}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for t in (0.5, 0.85):
+        ratio = {(a, b): difflib.SequenceMatcher(None, norm[a], norm[b], autojunk=False).ratio() for a, b in itertools.combinations(names, 2) if norm[a] != norm[b]}
+        got = {(r["name_a"], r["name_b"]): r["ratio"] for r in similar_names(df, "n", t).collect()}
+        assert got.keys() == {p for p, r in ratio.items() if r >= t} and got
+        assert all(abs(r - ratio[p]) < 6e-5 for p, r in got.items())
+
+
+def test_similar_names_do_not_meet_by_what_all_share(spark):
+    rnd = random.Random(5)
+    names = sorted({"".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) + " by the old quay" for _ in range(1500)})
+    names += [n[:4] + "z" + n[5:] for n in names[:40] if n[4] != "z"]
+    ids = {n: i for i, n in enumerate(names)}
+    got = alike_candidates(spark.createDataFrame([(i, n) for n, i in ids.items()], "id long, s string"), 0.85).collect()
+    assert len({tuple(r) for r in got}) == len(got) < len(names) * len(names) // 2 // 100
+    assert {(ids[a], i) for i, b in enumerate(names[1500:], 1500) for a in [next(n for n in names[:40] if n[:4] == b[:4] and n[5:] == b[5:])]} <= {tuple(r) for r in got}
+
+
 def test_npmi_and_communities(spark):
     f = [(d, t) for d in range(3) for t in "ab"] + [(9, "c"), (9, None)]
     e = {(r["term_a"], r["term_b"]): r["score"] for r in npmi_edges(spark.createDataFrame(f[:6], "d int, t string"), "d", "t").collect()}
